@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start, held = 0, 0
         for row, size in enumerate(sizes):
             size = size or 0

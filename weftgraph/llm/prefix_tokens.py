@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -177,7 +178,7 @@ def prefix_token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_of = counter(model_path).prefix_counts
         for part in slices(batches, 1, SLICE_BYTES):
-            sizes, totals, fits, prefixes = pa.compute.binary_length(part.column(1)).cast(pa.int64()), [], [], []
+            sizes, totals, fits, prefixes = pc.binary_length(part.column(1)).cast(pa.int64()), [], [], []
             for text in part.column(1).to_pylist():
                 counts = counts_of(text)
                 totals.append(int(counts[-1]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, prefix_tokens
+from . import byte_bpe, gray_simhash, histogram_shards, kd_topk, prefix_tokens, secret_ledger, suffix_decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fits_chars")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan_secrets(table(spark, sf_dir, "documents"))
+    named = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(named, 256).alias("base_sha256"), named.alias("spans"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id", "n_words", suffix_decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), suffix_decontam.is_contaminated().alias("contaminated")
+    )
+
+
+def op5_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_topk.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)), k=10)
+
+
+def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"))
+    key = histogram_shards.hashed_key(F.col("doc_id"), F.col("text_crc32"))
+    sharded = histogram_shards.shards_by_bytes(rows, key, F.col("bytes"), n_shards=16, tie_cols=("doc_id", "text_crc32"))
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gray_simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +64,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_kd_topk": op5_kd_topk,
+    "op6_histogram_shards": op6_histogram_shards,
+    "op7_gray_simhash": op7_gray_simhash,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
