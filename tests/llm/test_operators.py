@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm import byte_bpe, gray_simhash, histogram_shards, kd_topk, prefix_tokens, queries, secret_ledger, suffix_decontam
+from weftgraph.llm import automaton_dedup, byte_bpe, edit_lines, gray_simhash, histogram_shards, kd_topk, prefix_tokens, queries, secret_ledger, suffix_decontam
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PIECES = queries.tokenizer("piece_bpe_32k.model")
@@ -260,3 +260,124 @@ def test_gray_links_in_many_ranges(spark, monkeypatch):
     assert {frozenset(g) for g in mine.values()} == {frozenset(g) for g in groups.values()}
     ranked = [r["fp"] for r in distinct.orderBy(gray_simhash.gray_rank(F.col("fp"))).collect()]
     assert [unsigned(x) for x in ranked] == sorted(fps, key=lambda x: int(gray_simhash.gray_rank_of(np.array([x], dtype=np.uint64))[0]))
+
+
+def repeats_slowly(rows, window=50):
+    first = {}
+    for i, t in rows:
+        words = t.encode().split()
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            key = b" ".join(words[k : k + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        words = t.encode().split()
+        gone = set()
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            if first[b" ".join(words[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        out.append((i, len(words), len(gone), hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest()))
+    return out
+
+
+def passages(spark):
+    draw = random.Random(4)
+    words = lambda n: [draw.choice("abcdefgh") * draw.randint(1, 6) for _ in range(n)]
+    shared, rows = [words(n) for n in (60, 55, 120, 49, 50)], []
+    for i in range(60):
+        text = []
+        for _ in range(draw.randint(0, 5)):
+            text += draw.choice(shared) if draw.random() < 0.6 else words(draw.randint(1, 70))
+        rows.append((i, " ".join(text)))
+    rows += [(None, rows[3][1]), (70, None), (72, "x " * 300), (73, "x " * 200), (5, rows[5][1]), (6, rows[9][1]), (80, "x " * 80 + " ".join(shared[2]))]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
+
+
+def test_substring_dedup(docs):
+    out = automaton_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    same([tuple(r) for r in out.collect()], repeats_slowly(pairs(docs)))
+
+
+@pytest.mark.parametrize("group", [512, 1])
+def test_substring_dedup_of_passages(spark, monkeypatch, group):
+    monkeypatch.setattr(automaton_dedup, "GROUP_RUNS", group)
+    df = passages(spark)
+    out = automaton_dedup.repeated_passages(df).collect()
+    same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out], repeats_slowly(pairs(df)))
+    assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
+
+
+def test_automaton_against_brute_force():
+    draw = random.Random(9)
+    for _ in range(200):
+        made = [[draw.randint(0, 2) for _ in range(draw.randint(4, 30))] for _ in range(5)]
+        for k, flags in enumerate(automaton_dedup.repeats(made, 4)):
+            before = {tuple(p[j : j + 4]) for p in made[:k] for j in range(len(p) - 3)}
+            assert flags.tolist() == [tuple(made[k][j : j + 4]) in before for j in range(len(made[k]) - 3)]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_banded_edit_distance():
+    draw = random.Random(1)
+    for _ in range(1500):
+        a, b = ("".join(draw.choice("ab") for _ in range(draw.randint(0, 9))) for _ in range(2))
+        assert [edit_lines.within(a, b, k) for k in range(4)] == [edit_distance(a, b) <= k for k in range(4)]
+
+
+def lines_slowly(rows, least):
+    place = lambda i, p: ((1 << 62) if i is None else i, p)
+    first, lengths = {}, defaultdict(list)
+    for i, t in sorted(rows, key=lambda r: place(r[0], 0)):
+        for p, line in enumerate((t or "").split("\n")):
+            if len(line) >= least and line not in first:
+                first[line] = place(i, p)
+                lengths[len(line)].append(line)
+    near = {a for a in first for n in (-1, 0, 1) for b in lengths[len(a) + n] if first[b] < first[a] and edit_distance(a, b) == 1}
+    out = []
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        exact = [len(line) >= least and place(i, p) != first[line] for p, line in enumerate(lines)]
+        close = [not e and line in near for e, line in zip(exact, lines)]
+        kept = None if t is None else "\n".join(line for line, e, c in zip(lines, exact, close) if not (e or c))
+        out.append((i, kept, len(lines), sum(exact), sum(close)))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_line_dedup(spark, monkeypatch, bucket):
+    monkeypatch.setattr(edit_lines, "BUCKET", bucket)
+    draw = random.Random(3)
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(draw.randint(0, 7)):
+            line = f"the quick brown fox {draw.randint(0, 4)} jumps"
+            for _ in range(draw.choice([0, 0, 1, 1, 2])):
+                p = draw.randrange(len(line))
+                line = draw.choice([line[:p] + line[p + 1 :], line[:p] + draw.choice("xyzé") + line[p:], line[:p] + draw.choice("xyzé") + line[p + 1 :]])
+            lines.append(line)
+        rows.append((i, "\n".join([*lines, "short", ""])))
+    rows += [(60, None), (61, ""), (62, "\n\n"), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).withColumn("pos", F.lit("clash"))
+    out = edit_lines.deduplicate_lines(df, min_chars=5)
+    assert out.columns[:4] == df.columns
+    same([tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()], lines_slowly(rows, 5))
+    assert edit_lines.deduplicate_lines(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_documents(documents, awkward):
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    out = edit_lines.deduplicate_lines(documents).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+    same([tuple(r) for r in out.collect()], lines_slowly(rows, 20))
+    # a repeated row keeps its lines: neither stands before the other
+    kept = {r["doc_id"]: r for r in edit_lines.deduplicate_lines(awkward).collect()}
+    assert kept[5]["n_exact"] == 0 and kept[6]["n_exact"] == 1 and kept[0]["text"] is None
