@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, byte_bpe, edit_lines, gray_simhash, histogram_shards, kd_topk, prefix_tokens, secret_ledger, suffix_decontam
+from . import automaton_dedup, byte_bpe, edit_lines, gray_simhash, histogram_shards, kd_topk, prefix_tokens, secret_ledger, suffix_decontam, weak_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(named, 256).alias("base_sha256"), named.alias("spans"))
 
 
+def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), "keep")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return found.select(
@@ -75,6 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_secret_scan": op2_secret_scan,
+    "op3_weak_quality": op3_weak_quality,
     "op4_decontamination": op4_decontamination,
     "op5_kd_topk": op5_kd_topk,
     "op6_histogram_shards": op6_histogram_shards,
