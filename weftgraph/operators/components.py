@@ -28,9 +28,9 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     jumping, and edges are carried to the roots; edges inside a root drop out.  The rounds grow
     with the logarithm of the longest chain, and only edges between different roots stay.
     """
-    between = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
+    between = cut(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
     ends = between.select(F.col("a").alias("id")).union(between.select(F.col("b").alias("id"))).distinct()
-    between = cut(between.where("a < b").distinct())
+    between = between.where("a < b")
     labels = None
     while True:
         hooks = between.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"))
