@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import cut, shared_folder, slices
 
 GRAM = 20
-GROUP_RUNS = 512
-CACHE_WORDS = 500_000
+GROUP_RUNS = 4096
+CACHE_WORDS = 200_000
 SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 
