@@ -167,11 +167,11 @@ def test_betweenness_and_eccentricity(spark):
 
 
 def test_pagerank(spark):
-    ranks = {r["id"]: r["pagerank"] for r in metrics.pagerank(make(spark, "ranked"), every=10).collect()}
+    ranks = {r["id"]: r["pagerank"] for r in metrics.pagerank(make(spark, "ranked"), tolerance=1e-3).collect()}
     # of a star: centre c and leaf l with c = 0.2 / 6 + 0.8 * 5 l and l = 0.2 / 6 + 0.8 c / 5
     c = (0.2 / 6) * (1 + 4) / (1 - 4 * 0.16)
     leaf = 0.2 / 6 + 0.16 * c
-    assert ranks == pytest.approx({**dict.fromkeys(range(7), 1.0), **dict.fromkeys(range(7, 12), leaf / c), 12: 1.0}, abs=1e-4)
+    assert ranks == pytest.approx({**dict.fromkeys(range(7), 1.0), **dict.fromkeys(range(7, 12), leaf / c), 12: 1.0}, abs=2e-3)
     assert metrics.pagerank(make(spark, "empty"), max_rounds=5).count() == 0
 
 

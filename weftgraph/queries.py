@@ -315,13 +315,13 @@ query("b15_remove_attributes", "SELECT c_custkey, c_name FROM customer")(lambda
 query("b16_edit_attribute", "SELECT c_custkey, CASE WHEN c_custkey < 10 THEN -1.0 ELSE c_nationkey END::DOUBLE AS c_nationkey FROM customer")(
     lambda spark, d: A.edit_attribute(customers(spark, d), "c_nationkey", customers(spark, d).where("c_custkey < 10").select("c_custkey", F.lit(-1)), "c_custkey", "double").select("c_custkey", "c_nationkey")
 )
-on_part = lambda name, condition, sql: query(name, f"SELECT p_partkey FROM part WHERE {sql}")(lambda spark, d: X.table(spark, d, "part").where(condition).select("p_partkey"))
-on_part("f1_equality", P.all_of(P.differs(F.col("p_brand"), "Brand#2"), P.equals(F.col("p_type"), "ECONOMY")), "p_brand <> 'Brand#2' AND p_type = 'ECONOMY'")
-on_part("f2_order", P.all_of(P.greater(F.col("p_size"), 10), P.at_most(F.col("p_retailprice"), 1200)), "p_size > 10 AND p_retailprice <= 1200")
-on_part("f3_text", P.any_of(P.includes(F.col("p_name"), "al"), P.all_of(P.starts(F.col("p_name"), "b"), P.ends(F.col("p_name"), "t")), P.all_of(P.excludes(F.col("p_name"), "e"), P.equals(F.col("p_size"), 1))), "contains(p_name, 'al') OR (starts_with(p_name, 'b') AND ends_with(p_name, 't')) OR (NOT contains(p_name, 'e') AND p_size = 1)")
-on_part("f4_patterns", P.any_of(P.matches(F.col("p_name"), "^s.*g$"), P.matches(F.col("p_brand"), "bRAND#1.$", False)), "regexp_matches(p_name, '^s.*g$') OR regexp_matches(p_brand, '(?i)bRAND#1.$')")
+on_part = lambda name, condition, sql: query(name, f"SELECT p_partkey FROM part WHERE {sql}")(lambda spark, d: X.table(spark, d, "part").where(condition()).select("p_partkey"))
+on_part("f1_equality", lambda: P.all_of(P.differs(F.col("p_brand"), "Brand#2"), P.equals(F.col("p_type"), "ECONOMY")), "p_brand <> 'Brand#2' AND p_type = 'ECONOMY'")
+on_part("f2_order", lambda: P.all_of(P.greater(F.col("p_size"), 10), P.at_most(F.col("p_retailprice"), 1200)), "p_size > 10 AND p_retailprice <= 1200")
+on_part("f3_text", lambda: P.any_of(P.includes(F.col("p_name"), "al"), P.all_of(P.starts(F.col("p_name"), "b"), P.ends(F.col("p_name"), "t")), P.all_of(P.excludes(F.col("p_name"), "e"), P.equals(F.col("p_size"), 1))), "contains(p_name, 'al') OR (starts_with(p_name, 'b') AND ends_with(p_name, 't')) OR (NOT contains(p_name, 'e') AND p_size = 1)")
+on_part("f4_patterns", lambda: P.any_of(P.matches(F.col("p_name"), "^s.*g$"), P.matches(F.col("p_brand"), "bRAND#1.$", False)), "regexp_matches(p_name, '^s.*g$') OR regexp_matches(p_brand, '(?i)bRAND#1.$')")
 on_graph(X.supply, "f5_has_value", lambda g: g.nodes.where(P.has_value(F.col("brand"))).select("id"), SUPPLY + "SELECT id FROM n WHERE brand IS NOT NULL")
-on_part("f7_attribute_to_attribute", P.less(F.col("p_size") * 50, F.col("p_retailprice")), "p_size * 50 < p_retailprice")
+on_part("f7_attribute_to_attribute", lambda: P.less(F.col("p_size") * 50, F.col("p_retailprice")), "p_size * 50 < p_retailprice")
 on_graph(X.supply, "f8_end_attributes", lambda g: P.with_end_attributes(g, "kind", "worth").where(P.all_of(P.equals(P.source("kind"), "part"), P.less(P.target("worth"), 0))).select("edge_id"), SUPPLY + "SELECT edge_id FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.kind = 'part' AND b.worth < 0")
 
 # search, selections, enrichment, order
