@@ -83,44 +83,51 @@ def anchored_runs(code: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return grams[at[starts]].view(np.int64), starts, np.diff(np.append(starts, len(at)))
 
 
-def repeats(passages: list[list[int]], window: int) -> list[np.ndarray]:
-    """For each passage, which of its windows also stand in one before it: one automaton, grown as it goes."""
-    step: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
-    found = []
-    for number, passage in enumerate(passages):
+class Automaton:
+    """A suffix automaton over sequences of word codes, grown one sequence at a time."""
+
+    def __init__(self):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def matches(self, passage: list[int], window: int) -> np.ndarray:
+        """Which windows of the passage are in the automaton, by the length of the longest match that ends at each word."""
+        step, link, length = self.step, self.link, self.length
         state, matched = 0, 0
         ends = np.zeros(len(passage), dtype=bool)
-        if number:
-            for k, c in enumerate(passage):  # matching statistics
-                while state and c not in step[state]:
-                    state = link[state]
-                    matched = length[state]
-                if c in step[state]:
-                    state = step[state][c]
-                    matched += 1
-                    if matched >= window:
-                        ends[k] = True
-                else:
-                    matched = 0
-        found.append(ends[window - 1 :])
-        if number + 1 == len(passages):
-            break
+        for k, c in enumerate(passage):
+            while state and c not in step[state]:
+                state = link[state]
+                matched = length[state]
+            if c in step[state]:
+                state = step[state][c]
+                matched += 1
+                if matched >= window:
+                    ends[k] = True
+            else:
+                matched = 0
+        return ends[window - 1 :]
+
+    def _split(self, last: int, c: int, q: int) -> int:
+        """A copy of state ``q`` for the shorter of its sequences, which now also end elsewhere."""
+        step, link, length = self.step, self.link, self.length
+        copy = len(step)
+        step.append(dict(step[q]))
+        link.append(link[q])
+        length.append(length[last] + 1)
+        link[q] = copy
+        while last >= 0 and step[last].get(c) == q:
+            step[last][c] = copy
+            last = link[last]
+        return copy
+
+    def add(self, passage: list[int]) -> None:
+        step, link, length = self.step, self.link, self.length
         last = 0
         for c in passage:
             known = step[last].get(c)
             if known is not None:
-                if length[known] != length[last] + 1:
-                    copy = len(step)
-                    step.append(dict(step[known]))
-                    link.append(link[known])
-                    length.append(length[last] + 1)
-                    link[known] = copy
-                    while last >= 0 and step[last].get(c) == known:
-                        step[last][c] = copy
-                        last = link[last]
-                    known = copy
-                last = known
+                last = known if length[known] == length[last] + 1 else self._split(last, c, known)
                 continue
             new = len(step)
             step.append({})
@@ -131,18 +138,26 @@ def repeats(passages: list[list[int]], window: int) -> list[np.ndarray]:
                 last = link[last]
             if last >= 0:
                 q = step[last][c]
-                if length[q] == length[last] + 1:
-                    link[new] = q
-                else:
-                    copy = len(step)
-                    step.append(dict(step[q]))
-                    link.append(link[q])
-                    length.append(length[last] + 1)
-                    link[q] = link[new] = copy
-                    while last >= 0 and step[last].get(c) == q:
-                        step[last][c] = copy
-                        last = link[last]
+                link[new] = q if length[q] == length[last] + 1 else self._split(last, c, q)
             last = new
+
+
+def repeats(passages: list[list[int]], window: int, owners: list[int] | None = None) -> list[np.ndarray]:
+    """For each passage, which of its windows also stand in one of an owner before it; each is its own owner if none are given.
+
+    The passages of an owner are neighbours in the list; all are matched before any of them is added.
+    """
+    owners = list(range(len(passages))) if owners is None else owners
+    automaton, found, start = Automaton(), [], 0
+    while start < len(passages):
+        end = start
+        while end < len(passages) and owners[end] == owners[start]:
+            found.append(automaton.matches(passages[end], window))
+            end += 1
+        if end < len(passages):
+            for passage in passages[start:end]:
+                automaton.add(passage)
+        start = end
     return found
 
 
@@ -216,18 +231,8 @@ def repeated_passages(df: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
             group.sort(key=lambda r: (r[1], r[0]))
-            hits, at = [], 0
-            found = repeats([np.frombuffer(words, dtype=np.uint64).tolist() for _, _, words in group], window)
-            # passages of one document don't count against each other: match those against what came before it
-            while at < len(group):
-                end = at
-                while end < len(group) and group[end][1] == group[at][1]:
-                    end += 1
-                if end > at + 1:
-                    before = [np.frombuffer(words, dtype=np.uint64).tolist() for _, _, words in group[:at]]
-                    for k in range(at + 1, end):
-                        found[k] = repeats([*before, np.frombuffer(group[k][2], dtype=np.uint64).tolist()], window)[-1]
-                at = end
+            found = repeats([np.frombuffer(words, dtype=np.uint64).tolist() for _, _, words in group], window, [i for _, i, _ in group])
+            hits = []
             for (digest, _, _), flags in zip(group, found):
                 hits.append((digest, _ranges(flags)))
             return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.binary()), pa.array([h[1] for h in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["digest", "hits"])
