@@ -156,6 +156,21 @@ def test_decontamination_in_blocks(documents, spark, sf, monkeypatch):
     assert any(r[2] for r in whole)
 
 
+def test_decontamination_in_blocks_keeps_every_row(documents, spark, sf, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [r["text"] for r in bench.collect()]
+    one, other = (" ".join(t.split()[:20]) for t in (items[0], items[-1]))
+    rows = [(1, one, "a"), (1, one, "a"), (1, other, "b"), (None, one, "c"), (None, other, "d"), (None, other, "d"), (2, None, "e"), (2, "", "e"), (2, "nothing here", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for keep in ((), ("text", "source")):
+        shape = lambda df: sorted(map(repr, df.drop("longest").collect()))
+        monkeypatch.setattr(suffix_decontam, "BLOCK_BYTES", 4 << 20)
+        whole = shape(suffix_decontam.benchmark_matches(docs, bench, keep=keep))
+        monkeypatch.setattr(suffix_decontam, "BLOCK_BYTES", 1000)
+        assert shape(suffix_decontam.benchmark_matches(docs, bench, keep=keep)) == whole
+        assert len(whole) == len(rows)
+
+
 def test_kd_topk(spark, monkeypatch):
     monkeypatch.setattr(kd_topk, "SHARD_ROWS", 150)
     monkeypatch.setattr(kd_topk, "LEAF_ROWS", 16)

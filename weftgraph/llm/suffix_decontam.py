@@ -11,7 +11,7 @@ longest verbatim match.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import cut, slices, texts
 
 #: Text of one shard, and benchmark text that goes to the tasks at once.
 SHARD_BYTES = 8 << 20
@@ -121,15 +121,16 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, window: int = 13, id_
     consecutive item words, or of whole items with fewer words; ``items`` the sorted distinct ids of
     the items concerned (null ids are left out, but their windows hit); ``longest`` the longest
     verbatim match (item, start in the document, words).  Null and empty texts have no words and
-    items without words no windows.  A benchmark beyond BLOCK_BYTES is taken block by block; the
-    blocks' results are then put together by id and text.  Without it there is no shuffle.
+    items without words no windows.  A benchmark beyond BLOCK_BYTES is taken block by block over rows
+    that are written once with a number each; the blocks' results are then put together by that
+    number, so equal ids and repeated rows stay rows of their own.  Without it there is no shuffle.
     """
     shape = "n_words long, hit_spans array<struct<start:long,end:long>>, items array<string>, longest struct<item:string,start:long,words:long>"
     source = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), *keep)
     schema = T.StructType([source.schema[0], *T._parse_datatype_string(shape).fields, *source.schema[2:]])
     context = df.sparkSession.sparkContext
 
-    def matched(tests) -> DataFrame:
+    def matched(source: DataFrame, tests, schema: T.StructType) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = tests.value
             numbers = test.numbers.get
@@ -174,24 +175,32 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, window: int = 13, id_
 
         return source.mapInArrow(match, schema)
 
-    found = [matched(context.broadcast(TestSet(block, window))) for block in _blocks(benchmark, item_col, item_text_col)]
-    if len(found) == 1:
-        return found[0]
-    raise_to = None
-    for one in found:
-        raise_to = one if raise_to is None else raise_to.unionByName(one)
-    keys = [id_col, "n_words", *keep]
-    merged = raise_to.groupBy(*keys).agg(
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return matched(source, context.broadcast(TestSet(first, window)), schema)
+    numbered = cut(source.withColumn("row_", F.monotonically_increasing_id()))
+    narrow = numbered.select(id_col, "text_", "row_")
+    numbered_schema = T.StructType([*schema[:5], narrow.schema["row_"]])
+    found = None
+    for block in chain([first, second], blocks):
+        tests = context.broadcast(TestSet(block, window))
+        one = cut(matched(narrow, tests, numbered_schema).drop(id_col))
+        tests.destroy()
+        found = one if found is None else found.unionByName(one)
+    merged = found.groupBy("row_").agg(
+        F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max_by("longest", "longest.words").alias("longest"),
+        F.max_by("longest", F.struct("longest.words", -F.col("longest.start"), "longest.item")).alias("longest"),
     )
     joined = F.aggregate(
         "hit_spans",
         F.array().cast("array<struct<start:long,end:long>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    return merged.withColumn("hit_spans", joined).select(*schema.names)
+    merged = merged.withColumn("hit_spans", joined).withColumnRenamed("row_", "found_")
+    return numbered.join(merged, F.col("row_") == F.col("found_")).select(*schema.names)
 
 
 def n_hit() -> Column:
