@@ -45,14 +45,58 @@ def test_classifier_on_labels_held_out(spark, small):
     assert quality > 0.95 and np.mean(clean) > 0.97
 
 
+def test_classifier_finds_toxic_documents_held_out(spark):
+    tables = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    out = weak_quality.classify(docs.select("doc_id", "text").repartition(4), labels.where("doc_id % 3 <> 0"))
+    held = {tuple(r[:2]): r for r in out.join(labels, "doc_id").where("doc_id % 3 = 0").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("int")).alias("kept")).collect()}
+    toxic = [held[q, 1] for q in (0, 1)]
+    assert sum(r["kept"] for r in toxic) < 0.1 * sum(r["n"] for r in toxic)
+    assert held[1, 0]["kept"] > 0.98 * held[1, 0]["n"] and held[0, 0]["kept"] < 0.1 * held[0, 0]["n"]
+
+
+def slice_slowly(text, lexicon_stems=frozenset()):
+    """Shares and votes of one text, word by word."""
+    words = [w.decode() for w in text.encode().split()]
+    n = len(words)
+    core = [w[:-1] if len(w) > 1 and w[-1] in weak_quality.ENDS else w for w in words]
+    most = max(Counter(words).values(), default=0)
+    found = [
+        sum(not c.isalnum() for c in core),
+        sum(c.isupper() and len(c) > 1 for c in core),
+        most,
+        sum(a == b for a, b in zip(words, words[1:])),
+        sum(w[-1] in ".!?" for w in words),
+        sum(c.lower() in weak_quality.FUNCTION_WORDS for c in core),
+    ]
+    insult = not weak_quality.INSULTS.isdisjoint(weak_quality.WORD.findall(" ".join(words).lower()))
+    return [x / max(n, 1) for x in found], n, insult
+
+
+def test_slices_against_single_texts(spark, sf):
+    texts = [r["text"] for r in queries.table(spark, sf, "documents").collect()] + AWKWARD + ["you idiot!", "IDIOTS", ""]
+    vocabulary = weak_quality.Vocabulary()
+    for start in (0, 100):  # words learned before and new ones
+        read = vocabulary.read([None if t is None else t.encode() for t in texts[start:]])
+        doc, feature = read.features()
+        for k, text in enumerate(texts[start:]):
+            shares, n, insult = slice_slowly(text or "")
+            assert [read.share[name][k] for name in weak_quality.SIGNALS] == pytest.approx(shares) and read.sizes[k] == n
+            assert read.holds(weak_quality.INSULT)[k] == insult
+            words = set(weak_quality.WORD.findall(" ".join((w.lower() for w in (text or "").split()))))
+            stems = {s for w in words for s in (w, *(w[:j] for j in weak_quality.PREFIXES if len(w) > j))}
+            if (text or "").isascii():
+                assert len(set(feature[doc == k].tolist())) == len(stems)
+
+
 def test_classifier_on_awkward_rows(spark):
-    rows = [(k, t, "clash") for k, t in enumerate(AWKWARD)] + [(None, "no id", None), (3, AWKWARD[3], "twice")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    rows = [(k, t, "clash", 7) for k, t in enumerate(AWKWARD)] + [(None, "no id", None, 8), (3, AWKWARD[3], "twice", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep string, P_Quality int")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1), (4, None, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0), None):
         out = weak_quality.classify(df, given)
-        assert out.columns == [*df.columns, "p_quality", "p_toxic", "keep"]
-        assert sorted(map(str, (r[:3] for r in out.collect()))) == sorted(map(str, rows))
+        assert out.columns == ["doc_id", "text", "keep_in", "P_Quality_in", "p_quality", "p_toxic", "keep"]
+        assert sorted(map(str, (r[:4] for r in out.collect()))) == sorted(map(str, rows))
         assert weak_quality.classify(df.limit(0), given).count() == 0
 
 

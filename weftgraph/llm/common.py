@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (local mode, tests) a
-    temporary folder is made and registered.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a temporary folder is made
+    and registered in local mode, as in tests; a cluster must name a shared one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -37,6 +39,24 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+def set_apart(df: DataFrame, *results: str) -> DataFrame:
+    """``df`` with the columns that are named like a result renamed: ``_in`` is added until no name is left twice."""
+    taken = {name.lower() for name in (*df.columns, *results)}
+    names = []
+    for name in df.columns:
+        if name.lower() in {r.lower() for r in results}:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """The texts of an Arrow column as UTF-8."""
+    return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:

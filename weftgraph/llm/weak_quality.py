@@ -7,8 +7,12 @@ The posterior of a pattern is the weak label of its documents.  On a bounded sam
 train a sparse logistic model over hashed features, which then scores all documents.
 
 The ``labels`` table is one more labeller, for the rows that it covers, and the source of one
-lexicon.  Lexicon and scorers are fitted on at most ``max_fitted`` rows: labelled ones, and if
-these are fewer, others with their weak labels, chosen by a hash of the id.
+lexicon, whose words are counted over all labelled documents.  The scorers are fitted on the weak
+labels of at most ``max_fitted`` rows: those that ``labels`` covers first, then others, each part in
+the order of a hash of the id; the toxic scorer on the covered ones alone, if there are any.
+
+Texts are read in slices: each word becomes a number, what a word says by itself is worked out once
+and kept, and the documents of a slice are summed up together.
 """
 
 from __future__ import annotations
@@ -16,25 +20,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from operator import eq
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, set_apart, slices, utf8
 
-#: Rows that lexicon and scorers are fitted on at most, labelled ones first, and words of the lexicon drawn from them at most.
+#: Rows, each with its weak label, that the scorers are fitted on at most.
 MAX_FITTED = 8000
-MAX_LEXICON = 500
 #: A lexicon word: the share of labelled documents that hold it and are toxic is at least this
 #: (lower end of the 95 % interval).
-LEXICON_SHARE = 0.75
+LEXICON_SHARE = 0.65
 BUCKETS = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Bytes of the remembered words, about, beyond which they are forgotten before the next slice.
+VOCABULARY = 48 << 20
 YES, NO, ABSTAIN = 1, 0, 2
+#: Posterior of a row whose given label says yes.
+TRUST = 0.98
 #: Frequent function words of English, German, French and Spanish, and English insults.
 FUNCTION_WORDS = frozenset(
     "the of and to in is that for it with as was on be by at this are from or an der die das und ein eine den von zu mit sich des auf für ist im nicht dem als le la les et des un une du que est pour en dans qui sur pas par au plus el los las y del se por con una para".split()
@@ -42,101 +50,200 @@ FUNCTION_WORDS = frozenset(
 INSULTS = frozenset("idiot idiots moron morons loser losers stupid pathetic scum worthless trash clown disgusting".split())
 WORD = re.compile(r"\w+")
 ENDS = ".,;:!?)\"'"
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = 0x9E3779B97F4A7C15
 SIGNALS = ("noisy", "upper", "top", "stutter", "ends", "function")
-QUALITY, TOXIC = ("noisy", "upper", "top", "stutter", "ends", "function", "label"), ("insult", "lexicon", "label")
-
-
-def signals(text: str) -> tuple[int, dict[str, float]]:
-    """Number of words, and shares of the words that are noisy, in capitals, the commonest, equal to the word before, at a sentence's end, function words."""
-    words = text.split()
-    counts = Counter(words)
-    n = len(words)
-    if not n:
-        return 0, dict.fromkeys(SIGNALS, 0.0)
-    noisy = upper = ends = function = 0
-    for word, k in counts.items():
-        core = word[:-1] if word[-1] in ENDS and len(word) > 1 else word
-        if not core.isalnum():
-            noisy += k
-        if len(core) > 1 and core.isupper():
-            upper += k
-        if word[-1] in ".!?":
-            ends += k
-        if core.lower() in FUNCTION_WORDS:
-            function += k
-    return n, {"noisy": noisy / n, "upper": upper / n, "top": max(counts.values()) / n, "stutter": sum(map(eq, words, words[1:])) / n, "ends": ends / n, "function": function / n}
-
-
-def quality_votes(n: int, share: dict[str, float]) -> list[int]:
-    """Votes on "this is readable prose", in the order of QUALITY without the label; a text too short to judge gets none."""
-    if n < 8:
-        return [ABSTAIN] * len(SIGNALS)
-    quiet = lambda raised: NO if raised else YES
-    return [
-        quiet(share["noisy"] >= 0.12),
-        quiet(share["upper"] >= 0.12),
-        quiet(share["top"] >= 0.25) if n >= 20 else ABSTAIN,
-        quiet(share["stutter"] >= 0.05) if n >= 20 else ABSTAIN,
-        YES if 0.02 <= share["ends"] <= 0.5 else NO if n >= 60 else ABSTAIN,
-        YES if share["function"] >= 0.08 else NO if share["function"] < 0.02 and n >= 20 else ABSTAIN,
-    ]
-
-
-def stems(word: str) -> list[str]:
-    """A word and its beginnings of 4 to 7 letters, which inflected forms share."""
-    return [word, *[word[:k] for k in range(4, 8) if len(word) > k]]
-
-
-def _bucket(feature: str) -> int:
-    from xxhash import xxh64_intdigest
+#: Steps of a signal's feature.
+STEPS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
+#: What a word says by itself, as bits.
+NOISY, UPPER, ENDING, FUNCTION, INSULT, LISTED = (1 << k for k in range(6))
 
-    return xxh64_intdigest(feature.encode()) % BUCKETS
 
+#: Features are numbers below 2 ** HASH_BITS; the scorers fold them into BUCKETS.
+HASH_BITS = 40
+PREFIXES = range(3, 8)
+_POWERS = np.array([pow(BASE, k + 1, 1 << 64) for k in range(PREFIXES[-1])], dtype=np.uint64)
 
-class Features(dict):
-    """Hashed features of a word: itself and its stems; only those in ``within``, if that is given."""
 
-    def __init__(self, within: frozenset[int] | None = None):
-        super().__init__()
-        self.within = within
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        found = {_bucket(f"w:{s}") for s in stems(word)}
-        found = self[word] = tuple(found if self.within is None else found & self.within)
-        return found
+def stem_hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the token, hash) of each token and of its beginnings of 3 to 7 letters, which inflected forms share."""
+    from xxhash import xxh64_intdigest
 
+    width = PREFIXES[-1]
+    sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    letters = np.array(tokens, dtype=f"U{width}").view(np.uint32).reshape(len(tokens), width).astype(np.uint64)
+    begun = np.cumsum((letters + np.uint64(1)) * _POWERS, axis=1)  # the beginning of k letters is in column k - 1
+    own = begun[np.arange(len(tokens)), np.clip(sizes, 1, width) - 1]
+    longer = np.flatnonzero(sizes > width)
+    own[longer] = np.fromiter((xxh64_intdigest(tokens[k].encode()) for k in longer.tolist()), dtype=np.uint64, count=len(longer))
+    places, found = [np.arange(len(tokens))], [own]
+    for k in PREFIXES:
+        more = np.flatnonzero(sizes > k)
+        places.append(more)
+        found.append(begun[more, k - 1])
+    mixed = np.concatenate(found)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate(places), (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
-class Lexicon(dict):
-    """For each word, whether it or one of its stems is in the lexicon."""
 
-    def __init__(self, entries: frozenset[str]):
-        super().__init__()
-        self.entries = entries
+def _bucket(feature: str) -> int:
+    from xxhash import xxh64_intdigest
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = any(s in self.entries for s in stems(word))
-        return found
+    return xxh64_intdigest(feature.encode()) % BUCKETS
 
 
-def of_signals(n: int, share: dict[str, float]) -> list[int]:
-    """Hashed features of the signals, each in steps."""
-    return [_bucket(f"s:{name}:{int(np.searchsorted((0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5), x))}") for name, x in share.items()] + [_bucket(f"s:n:{min(n, 4096).bit_length()}")]
+def powers(base: int, n: int) -> np.ndarray:
+    """The powers of ``base`` from 0 to n, modulo 2 ** 64."""
+    return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, base, dtype=np.uint64)]))
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+class Vocabulary:
+    """Words as numbers.  ``flags`` holds a word's bits and ``values[starts[n]:starts[n + 1]]`` its features.
 
+    A word is known by a 64-bit hash of its bytes; words stand between ASCII white space.
+    ``lexicon`` are the hashes of the lexicon's stems, sorted; with ``within``, a mask over the
+    buckets, only features of these buckets are kept.
+    """
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], alarm: int, rounds: int = 60) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
+    def __init__(self, lexicon: np.ndarray | None = None, within: np.ndarray | None = None, featured: bool = True):
+        self.lexicon, self.within, self.featured = lexicon, within, featured
+        self.power, self.inverse = powers(BASE, 0), powers(BASE, 0)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.flags, self.starts, self.values, self.held = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+
+    def learn(self, words: list[str]) -> None:
+        cores = [w[:-1] if len(w) > 1 and w[-1] in ENDS else w for w in words]
+        plain = np.array(list(map(str.isalnum, cores)), dtype=bool)
+        lowered = list(map(str.lower, cores))
+        upper = np.array([c.isupper() and len(c) > 1 for c in cores], dtype=bool)
+        ending = np.array([w[-1] in ".!?" for w in words], dtype=bool)
+        function = np.array(list(map(FUNCTION_WORDS.__contains__, lowered)), dtype=bool)
+        tokens, owner = lowered, np.arange(len(words))
+        if not plain.all():
+            parts = [[low] if whole else WORD.findall(word.lower()) for whole, low, word in zip(plain.tolist(), lowered, words)]
+            tokens, owner = list(chain.from_iterable(parts)), np.repeat(owner, list(map(len, parts)))
+        any_of = lambda at: np.bincount(at, minlength=len(words)) > 0
+        insult = any_of(owner[[k for k, t in enumerate(tokens) if t in INSULTS]])
+        place, hashes = stem_hashes(tokens) if tokens and (self.featured or self.lexicon is not None) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        listed = any_of(owner[place[np.isin(hashes, self.lexicon)]]) if self.lexicon is not None else np.zeros(len(words), dtype=bool)
+        bits = (NOISY, ~plain), (UPPER, upper), (ENDING, ending), (FUNCTION, function), (INSULT, insult), (LISTED, listed)
+        self.flags = np.concatenate([self.flags, sum((bit * held.astype(np.uint8) for bit, held in bits), np.zeros(len(words), dtype=np.uint8))])
+        if not self.featured:
+            place, hashes = place[:0], hashes[:0]
+        elif self.within is not None:
+            kept = self.within[hashes % BUCKETS]
+            place, hashes = place[kept], hashes[kept]
+        word = owner[place]
+        order = np.argsort(word, kind="stable")
+        self.values = np.concatenate([self.values, hashes[order]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(word, minlength=len(words)))])
+        self.held += 80 * len(words) + 2 * sum(map(len, words)) + 8 * len(hashes)
+
+    def read(self, texts: list[bytes | None]) -> Slice:
+        """The texts' words counted; a null text has none."""
+        if self.held > VOCABULARY:
+            self.forget()
+        texts = [text or b"" for text in texts]
+        data = b" ".join([*texts, b""])
+        raw = np.frombuffer(data, dtype=np.uint8)
+        if len(self.power) <= len(raw):
+            self.power, self.inverse = powers(BASE, len(raw)), powers(pow(BASE, -1, 1 << 64), len(raw))
+        inside = np.concatenate([[False], ~SPACE[raw], [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        summed = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((raw + np.uint64(1)) * self.power[: len(raw)])])
+        hashes = (summed[ends] - summed[starts]) * self.inverse[starts]
+        codes, distinct = pd.factorize(hashes)
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inner = np.flatnonzero(at < len(self.known))
+        new[inner] = self.known[at[inner]] != distinct[inner]
+        if new.any():
+            first = np.full(len(distinct), len(codes), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            chosen = first[new]
+            self.learn([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())])
+            known, number = np.concatenate([self.known, distinct[new]]), np.arange(len(self.known) + len(chosen))
+            number[: len(self.known)] = self.number
+            order = np.argsort(known)
+            self.known, self.number = known[order], number[order]
+            at = np.searchsorted(self.known, distinct)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        owner = np.searchsorted(np.cumsum(sizes + 1), starts, side="right")
+        return Slice(self, len(texts), owner, self.number[at][codes])
+
+
+class Slice:
+    """Documents whose words are numbers of a vocabulary."""
+
+    def __init__(self, vocabulary: Vocabulary, n: int, owner: np.ndarray, numbers: np.ndarray):
+        self.vocabulary, self.sizes = vocabulary, np.bincount(owner, minlength=n)
+        width = max(len(vocabulary.known), 1)
+        codes, pairs = pd.factorize(owner * width + numbers)
+        times = np.bincount(codes, minlength=len(pairs))
+        #: each document's distinct words
+        self.doc, self.word = pairs // width, pairs % width
+        self.flags = flags = vocabulary.flags[self.word]
+        most = np.zeros(n, dtype=np.int64)
+        np.maximum.at(most, self.doc, times)
+        share = lambda bit: np.bincount(self.doc, weights=times * (flags & bit > 0), minlength=n)
+        again = np.bincount(owner[1:], weights=(numbers[1:] == numbers[:-1]) & (owner[1:] == owner[:-1]), minlength=n)
+        counts = (share(NOISY), share(UPPER), most, again, share(ENDING), share(FUNCTION))
+        self.share = {name: c / np.maximum(self.sizes, 1) for name, c in zip(SIGNALS, counts)}
+
+    def holds(self, bit: int) -> np.ndarray:
+        """Which documents hold a word with this bit."""
+        return np.bincount(self.doc, weights=self.flags & bit > 0, minlength=len(self.sizes)) > 0
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, feature) of the words, distinct and by document; a slice has fewer than 2 ** 23 documents."""
+        starts = self.vocabulary.starts
+        first, many = starts[self.word], starts[self.word + 1] - starts[self.word]
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        pairs = pd.unique(np.repeat(self.doc, many) << HASH_BITS | self.vocabulary.values[at])
+        return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+
+    def signals(self) -> np.ndarray:
+        """A row of hashed features of the signals, each in steps, and of the word lists, per document."""
+        table = np.array([[_bucket(f"s:{name}:{step}") for step in range(len(STEPS) + 1)] for name in SIGNALS])
+        lengths = np.array([_bucket(f"s:n:{k}") for k in range(14)])
+        columns = [table[k][np.searchsorted(STEPS, self.share[name])] for k, name in enumerate(SIGNALS)]
+        columns += [np.where(self.holds(bit), _bucket(f"s:{bit}:yes"), _bucket(f"s:{bit}:no")) for bit in (INSULT, LISTED)]
+        columns.append(lengths[np.ceil(np.log2(np.minimum(self.sizes, 4096) + 1)).astype(np.int64)])
+        return np.stack(columns, axis=1)
+
+    def quality_votes(self) -> np.ndarray:
+        """Votes on "this is readable prose", in the order of SIGNALS; a text too short to judge gets none."""
+        n, s = self.sizes, self.share
+        quiet = lambda raised: np.where(raised, NO, YES)
+        votes = [
+            quiet(s["noisy"] >= 0.12),
+            quiet(s["upper"] >= 0.12),
+            np.where(n >= 20, quiet(s["top"] >= 0.25), ABSTAIN),
+            np.where(n >= 20, quiet(s["stutter"] >= 0.05), ABSTAIN),
+            np.where((s["ends"] >= 0.02) & (s["ends"] <= 0.5), YES, np.where(n >= 60, NO, ABSTAIN)),
+            np.where(s["function"] >= 0.08, YES, np.where((s["function"] < 0.02) & (n >= 20), NO, ABSTAIN)),
+        ]
+        return np.where(n[:, None] >= 8, np.stack(votes, axis=1), ABSTAIN)
+
+    def toxic_votes(self) -> np.ndarray:
+        """Votes on "this is toxic": a known insult, a word of the lexicon."""
+        n = len(self.sizes)
+        listed = np.where(self.holds(LISTED), YES, NO) if self.vocabulary.lexicon is not None else np.full(n, ABSTAIN)
+        return np.stack([np.where(self.holds(INSULT), YES, NO), listed], axis=1)
+
+
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], alarm: int, rounds: int = 60, trusted: int | None = None) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
     """(rates, posterior of "true" by pattern) from counted patterns of votes.
 
     ``rates[side, labeller]`` is how often a labeller that votes says yes among the false (0) and the
     true (1) rows; an abstaining labeller says nothing.  ``alarm`` is the vote that one labeller alone
-    casts with reason: patterns that hold it start on its side, all others on the other.
+    casts with reason: patterns that hold it start on its side, all others on the other.  What the
+    labeller number ``trusted`` says is taken as known: faults of one kind are found by one labeller
+    only, and the labelled rows show how often.
     """
     votes = np.array([p for p, _ in patterns], dtype=np.int64).reshape(len(patterns), -1)
     weight = np.array([n for _, n in patterns], dtype=np.float64)
@@ -150,6 +257,8 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], alarm:
         says = np.where(yes, np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0])))
         odds = np.log(true / (1 - true)) + np.where(cast, says, 0).sum(axis=1)
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        if trusted is not None:
+            posterior = np.where(cast[:, trusted], np.where(yes[:, trusted], TRUST, 1 - TRUST), posterior)
     return rates, {p: float(x) for (p, _), x in zip(patterns, posterior)}
 
 
@@ -192,98 +301,130 @@ def fit_sparse(rows: list[np.ndarray], wanted: np.ndarray, rounds: int = 300, pe
     return {-1: float(w[-1]), **{int(names[k]): float(w[k]) for k in np.flatnonzero(w[:-1])}}
 
 
-def _label_sample(docs: DataFrame, labels: DataFrame | None, id_col: str, most: int) -> DataFrame:
-    """(sample_id, quality, toxic) of at most ``most`` documents: labelled ones first, each part by hash of the id."""
+def _labelled(docs: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
+    """(label_id, quality, toxic) of the labelled documents; of several labels of an id the larger ones."""
     none = F.lit(None).cast("int")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("sample_id"), none.alias("quality"), none.alias("toxic"), F.lit(1).alias("here"))
-    if labels is not None:
-        rows = rows.unionByName(labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("sample_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), F.lit(0).alias("here")))
-    held = rows.groupBy("sample_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), F.max("here").alias("here")).where("here = 1")
-    return cut(held.orderBy(F.coalesce("quality", "toxic").isNull(), F.xxhash64("sample_id"), "sample_id").limit(most).drop("here"))
-
-
-def _lexicon(sample: DataFrame) -> frozenset[str]:
-    """Words and stems of four letters or more that mark toxic documents of the labelled sample."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({s for w in words_of(text) for s in stems(w) if len(s) >= 4})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], names=["token", "toxic"])
-
-    counted = sample.where("toxic is not null").select("text", "toxic").mapInArrow(tokens, "token string, toxic int").groupBy("token").agg(F.sum("toxic").alias("k"), F.count("*").alias("n"))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), none.alias("quality"), none.alias("toxic"), F.lit(1).alias("here"))
+    if labels is None:
+        return ids.where("false").drop("here")
+    given = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), F.lit(0).alias("here"))
+    held = ids.unionByName(given).groupBy("label_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), F.max("here").alias("here"))
+    return held.where("here = 1 and (quality is not null or toxic is not null)").drop("here")
+
+
+def _lexicon(labelled: DataFrame) -> np.ndarray | None:
+    """Hashes of the words and stems that mark toxic documents, counted over all labelled ones; None if there are none."""
+
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            names, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            total = lambda k: np.bincount(at, weights=np.concatenate([h[k] for h in held]), minlength=len(names)).astype(np.int64)
+            return names, total(1), total(2)
+
+        for part in chain.from_iterable(slices([batch], 0, SLICE_BYTES) for batch in batches):
+            doc, stem = vocabulary.read(utf8(part.column(0))).features()
+            toxic = np.array(part.column(1).to_pylist(), dtype=np.int64)
+            at, names = pd.factorize(stem)
+            held.append((names, np.bincount(at, weights=toxic[doc], minlength=len(names)).astype(np.int64), np.bincount(at, minlength=len(names))))
+            if sum(len(h[0]) for h in held) > VOCABULARY // 8:
+                held = [summed()]
+                if len(held[0][0]) > VOCABULARY // 16:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], names=["stem", "k", "n"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], names=["stem", "k", "n"])
+
+    counted = labelled.mapInArrow(stems, "stem long, k long, n long").groupBy("stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     z2 = 1.96**2
     low = F.expr(f"(k / n + {z2 / 2} / n - 1.96 * sqrt((k / n * (1 - k / n) + {z2 / 4} / n) / n)) / (1 + {z2} / n)")
-    return frozenset(r["token"] for r in counted.where(low >= LEXICON_SHARE).orderBy(F.desc("k"), "token").limit(MAX_LEXICON).collect())
-
-
-def _text_votes(text: str, lexicon: Lexicon, quality: int | None, toxic: int | None) -> tuple[list[int], list[int]]:
-    words = words_of(text)
-    label = lambda x: ABSTAIN if x is None else int(x)
-    insult = NO if INSULTS.isdisjoint(words) else YES
-    held = (YES if any(map(lexicon.__getitem__, words)) else NO) if lexicon.entries else ABSTAIN
-    return [*quality_votes(*signals(text)), label(quality)], [insult, held, label(toxic)]
+    found = [r["stem"] for r in counted.where(low >= LEXICON_SHARE).select("stem").collect()]
+    return np.array(sorted(found), dtype=np.int64) if found else None
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> dict:
     """The model: rates of the labellers, weak labels by pattern, and the weights of both scorers.
 
-    Votes and pattern counts cover all documents; the lexicon and the scorers are fitted on the at
-    most ``max_fitted`` sampled rows.  The driver gets the pattern counts (at most 3 to the number
-    of labellers), the lexicon, and the hashed features of the sample.
+    Votes, pattern counts and the lexicon cover all documents; the scorers are fitted on the at most
+    ``max_fitted`` sampled rows.  The driver gets the pattern counts (at most 3 to the number of
+    labellers), the lexicon, and the hashed features of the sample.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    chosen = _label_sample(docs, labels, id_col, max_fitted)
-    marked = texts.join(F.broadcast(chosen), F.col("id") == F.col("sample_id"), "left")
-    sample = cut(texts.join(F.broadcast(chosen), F.col("id") == F.col("sample_id")).dropDuplicates(["id"]).select("id", "text", "quality", "toxic"))
-    entries = _lexicon(sample)
+    given = cut(_labelled(docs, labels, id_col))
+    marked = texts.join(given, F.col("id") == F.col("label_id"), "left").select("id", "text", "quality", "toxic")
+    lexicon = _lexicon(marked.where("toxic is not null").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
 
-    def votes(batches: Iterator[pa.RecordBatch], features: bool) -> Iterator[pa.RecordBatch]:
-        lexicon, hashed = Lexicon(entries), Features()
+    def votes(batches: Iterator[pa.RecordBatch], fitted: bool) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(lexicon, featured=fitted)
         for part in slices(batches, 1, SLICE_BYTES):
-            good, bad, held = [], [], []
-            for text, quality, toxic in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
-                q, t = _text_votes(text, lexicon, quality, toxic)
-                good.append("".join(map(str, q)))
-                bad.append("".join(map(str, t)))
-                if features:
-                    ids = {b for w in words_of(text) for b in hashed[w]} | set(of_signals(*signals(text)))
-                    held.append(np.array(sorted(ids), dtype=np.int32).tobytes())
-            columns = [part.column(0), pa.array(good, pa.string()), pa.array(bad, pa.string())] + ([pa.array(held, pa.binary())] if features else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "good", "bad", "features"][: len(columns)])
+            read = vocabulary.read(utf8(part.column(1)))
+            label = lambda k: np.array([ABSTAIN if x is None else int(x > 0) for x in part.column(k).to_pylist()]).reshape(-1, 1)  # noqa: B023,E731
+            sides = [np.hstack([read.quality_votes(), label(2)]), np.hstack([read.toxic_votes(), label(3)])]
+            # a pattern as the digits of a number
+            codes = [pa.array(side @ (10 ** np.arange(side.shape[1], dtype=np.int64))) for side in sides]
+            columns, names = [part.column(0), *codes], ["id", "good", "bad"]
+            if fitted:
+                doc, feature = read.features()
+                own = read.signals()
+                held = [np.unique(np.concatenate([f % BUCKETS, own[k]])).astype(np.int32).tobytes() for k, f in enumerate(np.split(feature, np.searchsorted(doc, np.arange(1, len(own)))))]
+                columns, names = [*columns, pa.array(held, pa.binary())], [*names, "features"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def pattern(code: int, labellers: int) -> tuple[int, ...]:
+        return tuple(code // 10**k % 10 for k in range(labellers))
 
     id_type = texts.schema[0].dataType.simpleString()
-    cast = marked.select("id", "text", "quality", "toxic").mapInArrow(lambda b: votes(b, False), f"id {id_type}, good string, bad string")
+    cast = marked.mapInArrow(lambda b: votes(b, False), f"id {id_type}, good long, bad long")
     counted = cast.groupBy("good", "bad").count().collect()
-    model: dict = {"lexicon": entries, "max_fitted": max_fitted}
-    rows = sorted(sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good string, bad string, features binary").collect(), key=lambda r: r["id"])
+    ids = given.select("label_id", F.lit(0).alias("turn")).unionByName(texts.where("id is not null").select(F.col("id").alias("label_id"), F.lit(1).alias("turn")))
+    turns = ids.groupBy(F.col("label_id").alias("chosen_id")).agg(F.min("turn").alias("turn"))
+    chosen = turns.orderBy("turn", F.xxhash64("chosen_id"), "chosen_id").limit(max_fitted).drop("turn")
+    sample = marked.join(F.broadcast(cut(chosen)), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text", "quality", "toxic")
+    rows = sorted(sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary").collect(), key=lambda r: r["id"])
     features = [np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in rows]
-    for name, side, alarm in (("quality", "good", NO), ("toxic", "bad", YES)):
+    model: dict = {"lexicon": lexicon, "max_fitted": max_fitted}
+    for name, side, alarm, labellers in (("quality", "good", NO, len(SIGNALS) + 1), ("toxic", "bad", YES, 3)):
         patterns: Counter = Counter()
         for r in counted:
-            patterns[tuple(map(int, r[side]))] += r["count"]
-        rates, posterior = expectation_maximisation(sorted(patterns.items()), alarm) if patterns else (np.zeros((2, 0)), {})
-        weak = np.array([posterior.get(tuple(map(int, r[side])), 0.5) for r in rows])
-        model[name] = {"rates": rates, "posterior": posterior, "weights": fit_sparse(features, weak)}
+            patterns[pattern(r[side], labellers)] += r["count"]
+        rates, posterior = expectation_maximisation(sorted(patterns.items()), alarm, trusted=labellers - 1) if patterns else (np.zeros((2, 0)), {})
+        weak = np.array([posterior.get(pattern(r[side], labellers), 0.5) for r in rows])
+        fitted = np.arange(len(rows))
+        if name == "toxic":  # the word lists, all that other rows are judged by, are features of the scorer already
+            given_rows = [k for k, r in enumerate(rows) if pattern(r[side], labellers)[-1] != ABSTAIN]
+            fitted = np.array(given_rows or fitted, dtype=np.int64)
+        model[name] = {"rates": rates, "posterior": posterior, "weights": fit_sparse([features[k] for k in fitted], weak[fitted])}
     return model
 
 
 def score(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``df`` with ``p_quality`` and ``p_toxic`` of the two scorers.  A null or empty text has only the constant and the empty signals."""
-    good, bad = model["quality"]["weights"], model["toxic"]["weights"]
-    within = frozenset(good) | frozenset(bad)
+    """``df`` with ``p_quality`` and ``p_toxic`` of the two scorers.
+
+    A null or empty text has only the constant and the empty signals.  Columns of ``df`` with these
+    names get ``_in`` appended.
+    """
     at = df.columns.index(text_col)
+    df = set_apart(df, "p_quality", "p_toxic")
+    both = [model[name]["weights"] for name in ("quality", "toxic")]
     schema = T.StructType([*df.schema.fields, T.StructField("p_quality", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Features(within)
+        weights = np.zeros((2, BUCKETS))
+        for side, own in zip(weights, both):
+            side[[b for b in own if b >= 0]] = [w for b, w in own.items() if b >= 0]
+
+        vocabulary = Vocabulary(model["lexicon"], (weights != 0).any(axis=0))
         for part in slices(batches, at, SLICE_BYTES):
-            odds = np.zeros((2, part.num_rows))
-            for k, text in enumerate(part.column(at).to_pylist()):
-                present = set(of_signals(*signals(text or ""))).union(*filter(None, map(hashed.__getitem__, words_of(text or ""))))
-                odds[:, k] = [w[-1] + sum(w.get(b, 0.0) for b in sorted(present)) for w in (good, bad)]
-            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p[0]), pa.array(p[1])], names=schema.names)
+            read = vocabulary.read(utf8(part.column(at)))
+            doc, feature = read.features()
+            own = read.signals()
+            # a feature counts once, also where a word and a signal share a bucket
+            doc, feature = np.concatenate([doc, np.repeat(np.arange(len(own)), own.shape[1])]), np.concatenate([feature % BUCKETS, own.ravel()])
+            pairs = np.unique(doc * BUCKETS + feature)
+            p = [1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(pairs // BUCKETS, weights=side[pairs % BUCKETS], minlength=len(own)), -30, 30))) for w, side in zip(both, weights)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, p)], names=schema.names)
 
     return df.mapInArrow(scored, schema)
 
@@ -292,11 +433,14 @@ def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
     """All rows and columns of ``df`` with ``p_quality``, ``p_toxic`` and ``keep`` (of good quality and not toxic).
 
     ``labels`` has ``doc_id``, ``quality`` and ``toxic``; it may be empty, missing, or cover only
-    some rows.  Texts of fewer than 8 words get no quality vote, so the scorer judges them by what
-    it learned of short texts.  An empty table gives no rows.
+    some rows.  Rows with null ids are scored and take part in the counts, but have no label.
+    Repeated rows get the same scores; ids that occur more than once share their label.  Texts of
+    fewer than 8 words, null ones too, get no quality vote, so the scorer judges them by what it
+    learned of short texts.  An empty table gives no rows.  Columns of ``df`` that are named like a
+    result get ``_in`` appended, so nothing is overwritten.
     """
     model = fit(df, labels, id_col, text_col, max_fitted)
-    return score(df, model, text_col).withColumn("keep", keep())
+    return score(set_apart(df, "p_quality", "p_toxic", "keep"), model, text_col).withColumn("keep", keep())
 
 
 def keep(least_quality: float = 0.3, most_toxic: float = 0.5) -> Column:
