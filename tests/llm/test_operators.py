@@ -1,6 +1,7 @@
 """Operators against brute force, on the smallest tables and on a fixture of awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -147,6 +148,33 @@ def test_decontamination(spark, docs, sf):
     same([tuple(r) for r in out.collect()], wanted)
 
 
+def test_suffix_arrays_and_longest_matches():
+    draw = np.random.default_rng(4)
+    for letters in (2, 3, 20):
+        for _ in range(30):
+            words = draw.integers(0, letters + 1, draw.integers(0, 40))
+            found = suffix_decontam.suffix_array(words, letters, 5)
+            assert sorted(found.tolist()) == np.flatnonzero(words).tolist()
+            heads = [list(itertools.takewhile(bool, words[k : k + 5].tolist())) for k in found]
+            assert heads == sorted(heads)
+            names = ["none", *(f"w{k}" for k in range(1, letters + 1))]
+            items = [(str(k), " ".join(names[x] for x in draw.integers(1, letters + 1, draw.integers(0, 30))).encode()) for k in range(4)]
+            test = suffix_decontam.TestSet(items, 3)
+            _, starts, text = test.number([" ".join(names[x] for x in words).encode()])
+            within = lambda a, b: max(n for n in range(len(a) + 1) if n <= len(b) and (a[:n] == b[:n]).all() and (a[:n] > 0).all())
+            places = np.flatnonzero(text)
+            length, there = test.longest(text, places)
+            for p, n, t in zip(places.tolist(), length.tolist(), there.tolist()):
+                assert n == max((within(text[p:], test.words[k:]) for k in range(len(test.words))), default=0) == within(text[p:], test.words[t:])
+
+
+def test_decontamination_of_equal_windows(spark):
+    bench = spark.createDataFrame([(1, "a " * 3000), (2, "a " * 40 + "b"), (3, "x a")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " * 20000), (2, "b " + "a " * 12), (3, "x a a"), (4, "a " * 13 + "b")], "doc_id long, text string")
+    out = suffix_decontam.benchmark_matches(docs, bench).select("doc_id", "n_words", suffix_decontam.n_hit().alias("h"), "items", "longest.item", "longest.start", "longest.words")
+    same([tuple(r) for r in out.collect()], [(1, 20000, 20000, ["1", "2"], "1", 0, 3000), (2, 13, 0, [], None, None, None), (3, 3, 2, ["3"], "3", 0, 2), (4, 14, 14, ["1", "2"], "2", 0, 14)])
+
+
 def test_decontamination_in_blocks(documents, spark, sf, monkeypatch):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     shape = lambda df: sorted((r["doc_id"], r["n_words"], [tuple(s) for s in r["hit_spans"]], r["items"], r["longest"]["words"] if r["longest"] else 0) for r in df.collect())

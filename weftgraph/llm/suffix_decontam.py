@@ -1,11 +1,12 @@
 """Benchmark decontamination with suffix arrays over shards of training text.
 
-A task gathers documents into shards of bounded size, maps words to the numbers of the benchmark's
-vocabulary (other words match nothing) and keeps the suffixes that can start a match: those where
-enough neighbouring word pairs also stand side by side in the benchmark.  These are ranked together
-with the benchmark's suffixes by prefix doubling and sorted; every test suffix is then looked up
-by binary search, which gives all its occurrences, and matches are drawn out word by word to the
-longest verbatim match.
+A task gathers documents into shards of bounded size and maps words to the numbers of the
+benchmark's vocabulary (other words match nothing).  The shard's suffix array has all suffixes that
+begin with such a word, sorted by the first words, as many as a window has; ranks come from prefix
+doubling.  Every benchmark suffix that a window starts with, equal ones once, is looked up by binary
+search, which narrows its interval of the array word by word: what is left after a whole window are
+its occurrences.  From there each occurrence is followed in the benchmark's own suffix array, again
+by binary search, to the longest verbatim match.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, texts
+from .common import cut, slices, texts, utf8
 
 #: Text of one shard, and benchmark text that goes to the tasks at once.
 SHARD_BYTES = 8 << 20
@@ -28,80 +29,119 @@ BLOCK_BYTES = 4 << 20
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def suffix_array(words: np.ndarray, known: int, depth: int) -> np.ndarray:
+    """Places of the suffixes that begin with a word above 0, sorted by their first ``depth`` words, or more; words are at most ``known``."""
+    places = np.flatnonzero(words)
+    if not len(places):
+        return places
+    bits = max(1, known.bit_length())
+    width = min(63 // bits, depth)
+    ahead = lambda ranks, n: np.concatenate([ranks[n:], np.zeros(min(n, len(ranks)), dtype=np.int64)])
+    key = words.copy()
+    for n in range(1, width):
+        key = key << bits | ahead(words, n)
+    while True:
+        order = np.argsort(key[places])
+        ranked = key[places[order]]
+        step = ranked[1:] != ranked[:-1]
+        if width >= depth or step.all():
+            return places[order]
+        rank = np.zeros(len(words), dtype=np.int64)
+        rank[places[order]] = np.cumsum(np.concatenate([[1], step]))
+        key = rank << 32 | ahead(rank, width)
+        width *= 2
+
+
+def narrowed(words: np.ndarray, suffixes: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the intervals [low, high) of sorted suffixes, the parts whose word at ``depth`` is the wanted one, by binary search."""
+    ends = []
+    for right in (False, True):
+        a, b = low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(a < b)):
+            middle = (a[open_] + b[open_]) // 2
+            at = suffixes[middle] + depth
+            own = np.where(at < len(words), words[np.minimum(at, len(words) - 1)], 0)
+            below = own <= wanted[open_] if right else own < wanted[open_]
+            a[open_[below]] = middle[below] + 1
+            b[open_[~below]] = middle[~below]
+        ends.append(a)
+    return ends[0], ends[1]
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) for each place of the ranges [low, high)."""
+    many = high - low
+    which = np.repeat(np.arange(len(low)), many)
+    return which, np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + low[which]
+
 
 class TestSet:
-    """The benchmark's words as numbers, with the windows that count as a hit."""
+    """The benchmark's words as numbers, its suffix array, and the distinct windows that count as a hit."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        self.window = window
         self.numbers: dict[bytes, int] = {}
         self.items = [item for item, _ in items]
-        words, owner, starts = [], [], []
-        self.lengths: dict[int, list[int]] = {}
+        words, owner, size = [], [], []
         for k, (_, raw) in enumerate(items):
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in raw.translate(WORD_BYTES).split()]
-            size = min(window, len(ids))
-            for start in range(len(ids) - size + 1 if ids else 0):
-                self.lengths.setdefault(size, []).append(len(words) + start)
+            whole = min(window, len(ids))
             words += [*ids, 0]
             owner += [k] * (len(ids) + 1)
-        self.words, self.owner = np.array(words, dtype=np.int64), np.array(owner, dtype=np.int64)
-        pairs = (self.words[:-1] << 32) | self.words[1:]
-        self.pairs = np.unique(pairs[(self.words[:-1] > 0) & (self.words[1:] > 0)]) if len(words) > 1 else np.zeros(0, dtype=np.int64)
-
-    def candidates(self, text: np.ndarray, size: int) -> np.ndarray:
-        """Places of ``text`` where ``size - 1`` neighbouring pairs on end occur in the benchmark."""
-        if size == 1:
-            return np.flatnonzero(text)
-        if len(text) < size or not len(self.pairs):
-            return np.zeros(0, dtype=np.int64)
-        both = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
-        key = (text[both] << 32) | text[both + 1]
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        known = np.zeros(len(text), dtype=np.int64)
-        known[both[self.pairs[at] == key]] = 1
-        run = np.concatenate([[0], np.cumsum(known)])
-        return np.flatnonzero(run[size - 1 : len(text)] - run[: len(text) - size + 1] == size - 1)
-
-    def occurrences(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(window size, places in the text, places in the benchmark) of all matches of windows."""
-        for size, tests in self.lengths.items():
-            places = self.candidates(text, size)
-            if not len(places):
-                continue
-            tests = np.array(tests, dtype=np.int64)
-            # ranks by doubling over the suffixes in question: rank of 1, 2, 4 ... words, then of ``size``
-            suffixes = np.concatenate([text[places[:, None] + np.arange(size)], self.words[tests[:, None] + np.arange(size)]])
-            _, rank = np.unique(suffixes, return_inverse=True)
-            rank = rank.reshape(suffixes.shape)
-            width = 1
-            while width < size:
-                step = min(width, size - width)
-                pairs = (rank[:, : rank.shape[1] - step].astype(np.int64) << 32) | rank[:, step:]
-                _, rank = np.unique(pairs, return_inverse=True)
-                rank = rank.reshape(pairs.shape)
-                width += step
-            trained, asked = rank[: len(places), 0], rank[len(places) :, 0]
-            order = np.argsort(trained, kind="stable")  # the suffix array
-            low, high = np.searchsorted(trained[order], asked, "left"), np.searchsorted(trained[order], asked, "right")
-            found = np.repeat(np.arange(len(tests)), high - low)
-            if len(found):
-                inside = np.arange(len(found)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-                yield size, places[order][low[found] + inside], tests[found]
-
-    def extended(self, text: np.ndarray, places: np.ndarray, tests: np.ndarray, size: int) -> np.ndarray:
-        """Length of the longest verbatim match that goes on from each occurrence."""
-        length = np.full(len(places), size, dtype=np.int64)
-        going = np.arange(len(places))
+            size += [whole if start + whole <= len(ids) else 0 for start in range(len(ids))] + [0]
+        self.words, self.owner, sizes = (np.array(x, dtype=np.int64) for x in (words, owner, size))
+        self.suffixes = suffix_array(self.words, len(self.numbers), len(words))
+        #: first place, words and holders of each distinct window; holders are items, ``holders[held_from[k]:held_from[k + 1]]``
+        starts = np.flatnonzero(sizes)
+        rows = np.concatenate([self.words, np.zeros(window, dtype=np.int64)])[starts[:, None] + np.arange(window)]
+        rows[np.arange(window) >= sizes[starts][:, None]] = 0
+        _, first, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        self.first, self.window, self.size = starts[first], window, sizes[starts[first]]
+        pairs = np.unique(which.ravel() * max(len(items), 1) + self.owner[starts])
+        self.holders = pairs % max(len(items), 1)
+        self.held_from = np.searchsorted(pairs // max(len(items), 1), np.arange(len(first) + 1))
+
+    def number(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, where each text starts, all words); texts are kept apart by a zero."""
+        runs = []
+        for raw in raws:
+            words = raw.translate(WORD_BYTES).split()
+            runs.append(np.fromiter(map(self.numbers.get, words, repeat(0)), dtype=np.int64, count=len(words)))
+        sizes = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        text = np.zeros(int(starts[-1]), dtype=np.int64)
+        for start, run in zip(starts.tolist(), runs):
+            text[start : start + len(run)] = run
+        return sizes, starts, text
+
+    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the window, place in the text) of all occurrences of windows."""
+        suffixes = suffix_array(text, len(self.numbers), self.window)
+        asked = np.arange(len(self.first))
+        low, high = np.zeros(len(asked), dtype=np.int64), np.full(len(asked), len(suffixes), dtype=np.int64)
+        for depth in range(self.window):
+            asked = asked[self.size[asked] > depth]
+            low[asked], high[asked] = narrowed(text, suffixes, low[asked], high[asked], self.words[self.first[asked] + depth], depth)
+            asked = asked[low[asked] < high[asked]]
+        found, at = spread(low, high)
+        return found, suffixes[at]
+
+    def longest(self, text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, place in the benchmark) of the longest match that starts at each place of the text."""
+        low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(self.suffixes), dtype=np.int64)
+        words, going = np.zeros(len(places), dtype=np.int64), np.arange(len(places))
         while len(going):
-            a, b = places[going] + length[going], tests[going] + length[going]
-            fits = (a < len(text)) & (b < len(self.words))
-            going, a, b = going[fits], a[fits], b[fits]
-            going = going[(text[a] == self.words[b]) & (text[a] > 0)]
-            length[going] += 1
-        return length
+            depth = int(words[going[0]])
+            going = going[places[going] + depth < len(text)]
+            wanted = text[places[going] + depth]
+            going, wanted = going[wanted > 0], wanted[wanted > 0]
+            left, right = narrowed(self.words, self.suffixes, low[going], high[going], wanted, depth)
+            some = left < right
+            going = going[some]
+            low[going], high[going] = left[some], right[some]
+            words[going] += 1
+        return words, self.suffixes[low] if len(self.suffixes) else low
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -120,8 +160,8 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, window: int = 13, id_
     ``hit_spans`` are the word ranges (start, end) inside occurrences of windows of ``window``
     consecutive item words, or of whole items with fewer words; ``items`` the sorted distinct ids of
     the items concerned (null ids are left out, but their windows hit); ``longest`` the longest
-    verbatim match (item, start in the document, words).  Null and empty texts have no words and
-    items without words no windows.  A benchmark beyond BLOCK_BYTES is taken block by block over rows
+    verbatim match (item, start in the document, words) of a window or more.  Null and empty texts
+    have no words and items without words no windows.  A benchmark beyond BLOCK_BYTES is taken block by block over rows
     that are written once with a number each; the blocks' results are then put together by that
     number, so equal ids and repeated rows stay rows of their own.  Without it there is no shuffle.
     """
@@ -133,43 +173,36 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, window: int = 13, id_
     def matched(source: DataFrame, tests, schema: T.StructType) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = tests.value
-            numbers = test.numbers.get
             for part in slices(batches, 1, SHARD_BYTES):
-                raws = part.column(1).cast(pa.binary() if pa.types.is_string(part.column(1).type) else pa.large_binary()).to_pylist()
-                runs = []
-                for raw in raws:
-                    words = raw.translate(WORD_BYTES).split()
-                    runs.append(np.fromiter(map(numbers, words, repeat(0)), dtype=np.int64, count=len(words)))
-                sizes = np.array([len(r) for r in runs], dtype=np.int64)
-                starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-                text = np.zeros(int(starts[-1]), dtype=np.int64)  # documents are kept apart by a zero
-                for start, run in zip(starts.tolist(), runs):
-                    text[start : start + len(run)] = run
+                sizes, starts, text = test.number(utf8(part.column(1)))
+                found, places = test.occurrences(text)
                 cover = np.zeros(len(text) + 1, dtype=np.int64)
-                items: list[set] = [set() for _ in runs]
-                longest: list = [None] * len(runs)
-                for size, places, where in test.occurrences(text):
-                    np.add.at(cover, places, 1)
-                    np.add.at(cover, places + size, -1)
-                    doc = np.searchsorted(starts, places, side="right") - 1
-                    owner = test.owner[where]
-                    pairs = np.unique(doc * len(test.items) + owner)
-                    for d, o in zip((pairs // len(test.items)).tolist(), (pairs % len(test.items)).tolist()):
-                        items[d].add(test.items[o])
-                    length = test.extended(text, places, where, size)
-                    best = np.lexsort((owner, places, -length, doc))
-                    best = best[np.unique(doc[best], return_index=True)[1]]
-                    for d, o, p, w in zip(doc[best].tolist(), owner[best].tolist(), (places - starts[doc])[best].tolist(), length[best].tolist()):
-                        if longest[d] is None or w > longest[d]["words"]:
-                            longest[d] = {"item": test.items[o], "start": p, "words": w}
+                np.add.at(cover, places, 1)
+                np.add.at(cover, places + test.size[found], -1)
+                doc = np.searchsorted(starts, places, side="right") - 1
+                items: list[list] = [[] for _ in sizes]
+                longest: list = [None] * len(sizes)
+                held = np.unique(doc * max(len(test.first), 1) + found)  # a document's distinct windows
+                doc, found = held // max(len(test.first), 1), held % max(len(test.first), 1)
+                which, at = spread(test.held_from[found], test.held_from[found + 1])
+                pairs = np.unique(doc[which] * max(len(test.items), 1) + test.holders[at])
+                for d, o in zip((pairs // max(len(test.items), 1)).tolist(), (pairs % max(len(test.items), 1)).tolist()):
+                    items[d].append(test.items[o])
+                places = np.unique(places)
+                doc = np.searchsorted(starts, places, side="right") - 1
+                words, there = test.longest(text, places)
+                best = np.lexsort((places, -words, doc))
+                best = best[np.unique(doc[best], return_index=True)[1]]
+                for d, o, p, w in zip(doc[best].tolist(), test.owner[there[best]].tolist(), (places - starts[doc])[best].tolist(), words[best].tolist()):
+                    longest[d] = {"item": test.items[o], "start": p, "words": w}
                 hit = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
                 turns = np.flatnonzero(np.diff(hit))
-                spans: list[list] = [[] for _ in runs]
+                spans: list[list] = [[] for _ in sizes]
                 docs = np.searchsorted(starts, turns[::2], side="right") - 1
                 for d, start, end in zip(docs.tolist(), (turns[::2] - starts[docs]).tolist(), (turns[1::2] - starts[docs]).tolist()):
                     spans[d].append({"start": start, "end": end})
                 columns = [part.column(0), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                columns.append(pa.array([sorted(x for x in found if x is not None) for found in items], pa.list_(pa.string())))
+                columns.append(pa.array([sorted({x for x in own if x is not None}) for own in items], pa.list_(pa.string())))
                 columns.append(pa.array(longest, pa.struct([("item", pa.string()), ("start", pa.int64()), ("words", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=schema.names)
 
