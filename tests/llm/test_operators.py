@@ -376,51 +376,66 @@ def test_banded_edit_distance():
         assert [edit_lines.within(a, b, k) for k in range(4)] == [edit_distance(a, b) <= k for k in range(4)]
 
 
-def lines_slowly(rows, least):
+def lines_slowly(rows, least=1, edits=2, chars=40):
     place = lambda i, p: ((1 << 62) if i is None else i, p)
     first, lengths = {}, defaultdict(list)
+    counts = lambda line: len(line) >= least and line.strip() != ""
     for i, t in sorted(rows, key=lambda r: place(r[0], 0)):
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= least and line not in first:
+            if counts(line) and line not in first:
                 first[line] = place(i, p)
                 lengths[len(line)].append(line)
-    near = {a for a in first for n in (-1, 0, 1) for b in lengths[len(a) + n] if first[b] < first[a] and edit_distance(a, b) == 1}
+
+    def close(a, b):
+        bound = min(edits, min(len(a), len(b)) // chars)
+        # cheap: a shared piece, as the bound leaves one
+        if not bound or abs(len(a) - len(b)) > bound or not any(a[len(a) * k // (bound + 1) : len(a) * (k + 1) // (bound + 1)] in b for k in range(bound + 1)):
+            return False
+        return edit_distance(a, b) <= bound
+
+    near = {a for a in first for n in range(-edits, edits + 1) for b in lengths[len(a) + n] if first[b] < first[a] and close(a, b)}
     out = []
     for i, t in rows:
         lines = [] if t is None else t.split("\n")
-        exact = [len(line) >= least and place(i, p) != first[line] for p, line in enumerate(lines)]
-        close = [not e and line in near for e, line in zip(exact, lines)]
-        kept = None if t is None else "\n".join(line for line, e, c in zip(lines, exact, close) if not (e or c))
-        out.append((i, kept, len(lines), sum(exact), sum(close)))
+        exact = [counts(line) and place(i, p) != first[line] for p, line in enumerate(lines)]
+        close_ = [not e and line in near for e, line in zip(exact, lines)]
+        kept = None if t is None else "\n".join(line for line, e, c in zip(lines, exact, close_) if not (e or c))
+        out.append((i, kept, len(lines), sum(exact), sum(close_)))
     return out
 
 
-@pytest.mark.parametrize("bucket", [64, 1])
-def test_line_dedup(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "edits", "fine"), [(64, 1, 16), (64, 2, 16), (64, 3, 16), (1, 1, 16), (1, 2, 5), (1, 3, 6)])
+def test_line_dedup(spark, monkeypatch, bucket, edits, fine):
     monkeypatch.setattr(edit_lines, "BUCKET", bucket)
+    monkeypatch.setattr(edit_lines, "FINE", fine)
     draw = random.Random(3)
     rows = []
     for i in range(40):
         lines = []
         for _ in range(draw.randint(0, 7)):
             line = f"the quick brown fox {draw.randint(0, 4)} jumps"
-            for _ in range(draw.choice([0, 0, 1, 1, 2])):
+            for _ in range(draw.choice([0, 0, 1, 1, 2, 3, 4])):
                 p = draw.randrange(len(line))
                 line = draw.choice([line[:p] + line[p + 1 :], line[:p] + draw.choice("xyzé") + line[p:], line[:p] + draw.choice("xyzé") + line[p + 1 :]])
             lines.append(line)
-        rows.append((i, "\n".join([*lines, "short", ""])))
+        rows.append((i, "\n".join([*lines, "short", "sh0rt", " ", ""])))
     rows += [(60, None), (61, ""), (62, "\n\n"), (None, rows[3][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).withColumn("pos", F.lit("clash"))
-    out = edit_lines.deduplicate_lines(df, min_chars=5)
-    assert out.columns[:4] == df.columns
-    same([tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()], lines_slowly(rows, 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit(1)).withColumn("id_", F.lit("clash"))
+    out = edit_lines.deduplicate_lines(df, min_chars=5, edits=edits, chars_per_edit=9)
+    assert out.columns[:4] == ["doc_id", "text", "n_lines_in", "id_"]
+    wanted = lines_slowly(rows, 5, edits, 9)
+    same([tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()], wanted)
+    assert sum(r[4] for r in wanted) > 20
     assert edit_lines.deduplicate_lines(df.limit(0)).count() == 0
 
 
 def test_line_dedup_of_documents(documents, awkward):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
-    out = edit_lines.deduplicate_lines(documents).select("doc_id", "text", "n_lines", "n_exact", "n_near")
-    same([tuple(r) for r in out.collect()], lines_slowly(rows, 20))
+    rows += [(10**6, "This work is licensed under the terms of 2019, all rights of the author are reserved."), (10**6 + 1, "This work is licensed under the terms of 2020, all rights of the author are reserved.")]
+    given = documents.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    out = edit_lines.deduplicate_lines(given).select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()
+    same([tuple(r) for r in out], lines_slowly(rows))
+    assert {r["doc_id"]: r["text"] for r in out}[10**6 + 1] == ""
     # a repeated row keeps its lines: neither stands before the other
     kept = {r["doc_id"]: r for r in edit_lines.deduplicate_lines(awkward).collect()}
     assert kept[5]["n_exact"] == 0 and kept[6]["n_exact"] == 1 and kept[0]["text"] is None
