@@ -221,8 +221,3 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = rooted.join(named, "root").select(F.col("fp").alias("fp_"), "component_id")
     return prints.join(component, F.col("fp") == F.col("fp_")).select(id_col, "fp", "component_id")
 
-
-def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
-    """The ids that stay when each group of near-duplicates keeps its least id."""
-    found = near_duplicates(df, id_col, text_col, shingle, most)
-    return found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
