@@ -18,6 +18,7 @@ and kept, and the documents of a slice are summed up together.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -29,13 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, set_apart, slices, utf8
+from .common import cut, set_apart, shared_folder, slices, utf8
 
 #: Rows, each with its weak label, that the scorers are fitted on at most.
 MAX_FITTED = 8000
 #: A lexicon word: the share of labelled documents that hold it and are toxic is at least this
 #: (lower end of the 95 % interval).
 LEXICON_SHARE = 0.65
+Z2 = 1.96**2
 BUCKETS = 1 << 20
 SLICE_BYTES = 2 << 20
 #: Bytes of the remembered words, about, beyond which they are forgotten before the next slice.
@@ -312,35 +314,54 @@ def _labelled(docs: DataFrame, labels: DataFrame | None, id_col: str) -> DataFra
     return held.where("here = 1 and (quality is not null or toxic is not null)").drop("here")
 
 
-def _lexicon(labelled: DataFrame) -> np.ndarray | None:
-    """Hashes of the words and stems that mark toxic documents, counted over all labelled ones; None if there are none."""
+def _least_toxic() -> int:
+    """Toxic documents that a lexicon word needs at least, if it stands in no other."""
+    k = 1
+    while k / (k + Z2) < LEXICON_SHARE:
+        k += 1
+    return k
+
+
+def _stem_counts(labelled: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(stem, k, n): documents of (text, toxic) that hold a stem, toxic ones and all; only stems of the sorted ``among``, if given."""
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def summed() -> list[np.ndarray]:
             names, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
             total = lambda k: np.bincount(at, weights=np.concatenate([h[k] for h in held]), minlength=len(names)).astype(np.int64)
-            return names, total(1), total(2)
+            return [names, total(1), total(2)]
 
         for part in chain.from_iterable(slices([batch], 0, SLICE_BYTES) for batch in batches):
             doc, stem = vocabulary.read(utf8(part.column(0))).features()
+            if among is not None:
+                kept = np.isin(stem, among)
+                doc, stem = doc[kept], stem[kept]
             toxic = np.array(part.column(1).to_pylist(), dtype=np.int64)
             at, names = pd.factorize(stem)
             held.append((names, np.bincount(at, weights=toxic[doc], minlength=len(names)).astype(np.int64), np.bincount(at, minlength=len(names))))
             if sum(len(h[0]) for h in held) > VOCABULARY // 8:
-                held = [summed()]
+                held = [tuple(summed())]
                 if len(held[0][0]) > VOCABULARY // 16:
                     yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], names=["stem", "k", "n"])
                     held = []
         if held:
             yield pa.RecordBatch.from_arrays([*map(pa.array, summed())], names=["stem", "k", "n"])
 
-    counted = labelled.mapInArrow(stems, "stem long, k long, n long").groupBy("stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    z2 = 1.96**2
-    low = F.expr(f"(k / n + {z2 / 2} / n - 1.96 * sqrt((k / n * (1 - k / n) + {z2 / 4} / n) / n)) / (1 + {z2} / n)")
-    found = [r["stem"] for r in counted.where(low >= LEXICON_SHARE).select("stem").collect()]
+    return labelled.mapInArrow(stems, "stem long, k long, n long").groupBy("stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+
+
+def _lexicon(labelled: DataFrame) -> np.ndarray | None:
+    """Hashes of the words and stems that mark toxic documents, counted over all rows of (text, toxic); None if there are none.
+
+    Only stems of as many toxic documents as the test needs are counted in the others.
+    """
+    often = _stem_counts(labelled.where("toxic = 1")).where(F.col("k") >= _least_toxic()).select("stem")
+    among = np.array(sorted(r["stem"] for r in often.collect()), dtype=np.int64)
+    low = F.expr(f"(k / n + {Z2 / 2} / n - sqrt({Z2} * (k / n * (1 - k / n) + {Z2 / 4} / n) / n)) / (1 + {Z2} / n)")
+    found = [r["stem"] for r in _stem_counts(labelled, among).where(low >= LEXICON_SHARE).select("stem").collect()] if len(among) else []
     return np.array(sorted(found), dtype=np.int64) if found else None
 
 
@@ -352,18 +373,19 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     labellers), the lexicon, and the hashed features of the sample.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    given = cut(_labelled(docs, labels, id_col))
-    marked = texts.join(given, F.col("id") == F.col("label_id"), "left").select("id", "text", "quality", "toxic")
-    lexicon = _lexicon(marked.where("toxic is not null").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
+    # written, so that Spark knows the size and sends the labels to all tasks only if they are few
+    path = f"{shared_folder(docs.sparkSession)}/labels-{uuid.uuid4().hex}"
+    _labelled(docs, labels, id_col).write.parquet(path)
+    given = docs.sparkSession.read.parquet(path)
+    toxic = texts.join(given.where("toxic is not null"), F.col("id") == F.col("label_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    lexicon = _lexicon(toxic)
 
     def votes(batches: Iterator[pa.RecordBatch], fitted: bool) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(lexicon, featured=fitted)
         for part in slices(batches, 1, SLICE_BYTES):
             read = vocabulary.read(utf8(part.column(1)))
-            label = lambda k: np.array([ABSTAIN if x is None else int(x > 0) for x in part.column(k).to_pylist()]).reshape(-1, 1)  # noqa: B023,E731
-            sides = [np.hstack([read.quality_votes(), label(2)]), np.hstack([read.toxic_votes(), label(3)])]
             # a pattern as the digits of a number
-            codes = [pa.array(side @ (10 ** np.arange(side.shape[1], dtype=np.int64))) for side in sides]
+            codes = [pa.array(side @ (10 ** np.arange(side.shape[1], dtype=np.int64))) for side in (read.quality_votes(), read.toxic_votes())]
             columns, names = [part.column(0), *codes], ["id", "good", "bad"]
             if fitted:
                 doc, feature = read.features()
@@ -372,29 +394,31 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
                 columns, names = [*columns, pa.array(held, pa.binary())], [*names, "features"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def pattern(code: int, labellers: int) -> tuple[int, ...]:
-        return tuple(code // 10**k % 10 for k in range(labellers))
+    def pattern(row, side: str) -> tuple[int, ...]:
+        """The votes of a counted or sampled row; the given label comes last."""
+        code, label, labellers = (row["good"], row["quality"], len(SIGNALS)) if side == "quality" else (row["bad"], row["toxic"], 2)
+        return (*(code // 10**k % 10 for k in range(labellers)), ABSTAIN if label is None else int(label > 0))
 
     id_type = texts.schema[0].dataType.simpleString()
-    cast = marked.mapInArrow(lambda b: votes(b, False), f"id {id_type}, good long, bad long")
-    counted = cast.groupBy("good", "bad").count().collect()
-    ids = given.select("label_id", F.lit(0).alias("turn")).unionByName(texts.where("id is not null").select(F.col("id").alias("label_id"), F.lit(1).alias("turn")))
-    turns = ids.groupBy(F.col("label_id").alias("chosen_id")).agg(F.min("turn").alias("turn"))
-    chosen = turns.orderBy("turn", F.xxhash64("chosen_id"), "chosen_id").limit(max_fitted).drop("turn")
-    sample = marked.join(F.broadcast(cut(chosen)), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text", "quality", "toxic")
-    rows = sorted(sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary").collect(), key=lambda r: r["id"])
+    cast = texts.mapInArrow(lambda b: votes(b, False), f"id {id_type}, good long, bad long")
+    counted = cast.join(given, F.col("id") == F.col("label_id"), "left").groupBy("good", "bad", "quality", "toxic").count().collect()
+    ids = given.withColumn("turn", F.lit(0)).unionByName(texts.where("id is not null").select(F.col("id").alias("label_id"), F.lit(1).alias("turn")), allowMissingColumns=True)
+    turns = ids.groupBy(F.col("label_id").alias("chosen_id")).agg(F.min("turn").alias("turn"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = cut(turns.orderBy("turn", F.xxhash64("chosen_id"), "chosen_id").limit(max_fitted).drop("turn"))
+    sample = texts.join(F.broadcast(chosen.select("chosen_id")), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text")
+    hashed = sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary")
+    rows = sorted(hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).collect(), key=lambda r: r["id"])
     features = [np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in rows]
     model: dict = {"lexicon": lexicon, "max_fitted": max_fitted}
-    for name, side, alarm, labellers in (("quality", "good", NO, len(SIGNALS) + 1), ("toxic", "bad", YES, 3)):
+    for name, alarm in (("quality", NO), ("toxic", YES)):
         patterns: Counter = Counter()
         for r in counted:
-            patterns[pattern(r[side], labellers)] += r["count"]
-        rates, posterior = expectation_maximisation(sorted(patterns.items()), alarm, trusted=labellers - 1) if patterns else (np.zeros((2, 0)), {})
-        weak = np.array([posterior.get(pattern(r[side], labellers), 0.5) for r in rows])
+            patterns[pattern(r, name)] += r["count"]
+        rates, posterior = expectation_maximisation(sorted(patterns.items()), alarm, trusted=len(next(iter(patterns))) - 1) if patterns else (np.zeros((2, 0)), {})
+        weak = np.array([posterior.get(pattern(r, name), 0.5) for r in rows])
         fitted = np.arange(len(rows))
         if name == "toxic":  # the word lists, all that other rows are judged by, are features of the scorer already
-            given_rows = [k for k, r in enumerate(rows) if pattern(r[side], labellers)[-1] != ABSTAIN]
-            fitted = np.array(given_rows or fitted, dtype=np.int64)
+            fitted = np.array([k for k, r in enumerate(rows) if r["toxic"] is not None] or fitted, dtype=np.int64)
         model[name] = {"rates": rates, "posterior": posterior, "weights": fit_sparse([features[k] for k in fitted], weak[fitted])}
     return model
 
