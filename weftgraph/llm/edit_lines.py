@@ -312,7 +312,7 @@ def removed_lines(rows: DataFrame, min_chars: int, edits: int, chars_per_edit: i
     return exact.unionByName(close).groupBy("id", "row", "pos").agg(F.bool_and("near").alias("near"))
 
 
-def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, edits: int = 2, chars_per_edit: int = 40) -> DataFrame:
+def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, edits: int = 1, chars_per_edit: int = 20) -> DataFrame:
     """``df`` with the repeated lines taken out of its text, plus ``n_lines``, ``n_exact`` and ``n_near``.
 
     Lines stand between newlines.  In the order of (id, line number), a line of at least
@@ -323,6 +323,9 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null text stays null and has no lines.  Null ids come last.  Repeated rows (equal id and text)
     are treated alike, and none removes the other's lines.  All columns and rows of ``df`` stay;
     columns named like a result get ``_in`` appended.
+
+    Lines that crowd in one bucket cost about ``(2 * length of the left-out segments) ** edits`` keys
+    each, so bounds above one edit are for tables without large groups of near-equal lines.
     """
     rows = _rows(df, id_col, text_col)
     removed = removed_lines(rows, min_chars, edits, chars_per_edit)
