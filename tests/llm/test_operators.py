@@ -350,6 +350,29 @@ def test_substring_dedup_of_passages(spark, monkeypatch, group):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
 
 
+def test_spans_that_match_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(automaton_dedup, "SHARD_WORDS", 400)
+    rows = pairs(passages(spark))
+    reference, docs = (spark.createDataFrame(part, "doc_id long, text string") for part in (rows[:30] + [(None, None), (1, "")], rows[20:] + [(0, None)]))
+    known = {tuple(t.split()[k : k + 50]) for _, t in rows[:30] for k in range(len(t.split()) - 49)}
+    wanted = []
+    for i, t in rows[20:] + [(0, "")]:
+        words = t.split()
+        gone = {k + j for k in range(len(words) - 49) if tuple(words[k : k + 50]) in known for j in range(50)}
+        wanted.append((i, sorted(gone)))
+    out = automaton_dedup.matching_spans(docs, reference).collect()
+    same([(r["doc_id"], [k for s in r["spans"] for k in range(s["start"], s["end"])]) for r in out], wanted)
+    assert sum(len(w[1]) > 0 for w in wanted) > 10
+    assert all(not r["spans"] for r in automaton_dedup.matching_spans(docs, reference.limit(0)).collect())
+    assert automaton_dedup.matching_spans(docs.limit(0), reference).count() == 0
+
+
+def test_periodic_text_is_one_run():
+    for period in (1, 3, 20, 31):
+        code = automaton_dedup.codes().of([b"word%d" % (k % period) for k in range(5000)])
+        assert len(automaton_dedup.anchored_runs(code, 50)[0]) == 1
+
+
 def test_automaton_against_brute_force():
     draw = random.Random(9)
     for _ in range(200):

@@ -6,8 +6,10 @@ documents stream past the shard that can hold their matches: in order of id, eve
 runs through the automaton of what came before it, which gives for each word the length of the
 longest match that ends there, and is then added.
 
-The reference is the corpus itself, which no task can hold, so shards are not sent to all tasks;
-passages are sent to their shard.  A window's *anchor* is the least hash among its runs of ``GRAM``
+Where the reference is a table of its own, its shards' automata are broadcast one after another and
+all documents stream past each (``matching_spans``): work is documents times shards.  For a corpus
+against itself that is quadratic, and no task can hold the corpus, so there shards are not sent to
+all tasks; passages are sent to their shard (``repeated_passages``).  A window's *anchor* is the least hash among its runs of ``GRAM``
 words, so equal windows have equal anchors.  Only passages around anchors that occur in two
 different documents are shipped, equal passages once.  An anchor with more than ``GROUP_RUNS``
 different passages would make one task long: there, windows are compared one by one by their
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shared_folder, slices
+from .common import cut, shared_folder, slices, utf8
 
 GRAM = 20
 GROUP_RUNS = 4096
@@ -79,8 +81,10 @@ def anchored_runs(code: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     """(anchor, first window, number of windows) of the runs of windows that share an anchor."""
     grams = gram_hashes(code, GRAM)
     at = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).argmin(axis=1) + np.arange(len(code) - window + 1)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return grams[at[starts]].view(np.int64), starts, np.diff(np.append(starts, len(at)))
+    anchor = grams[at].view(np.int64)
+    # periodic text has one anchor at many places, and is one run
+    starts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
+    return anchor[starts], starts, np.diff(np.append(starts, len(at)))
 
 
 class Automaton:
@@ -167,6 +171,47 @@ def _ranges(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 RANGES = "array<struct<start:int,end:int>>"
+#: Words of a reference shard, about; one longer text is a shard of its own.
+SHARD_WORDS = 200_000
+
+
+def matching_spans(df: DataFrame, reference: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ``text`` and ``spans``, the maximal word ranges covered by ``window`` words that also stand in the reference.
+
+    Both tables have the same id and text columns.  The reference is dealt into shards of bounded
+    size; the suffix automaton of one at a time is broadcast, documents stream past it, and for each
+    word the length of the longest match that ends there is taken.  The driver and each task hold one
+    shard.  Null texts have no words; without a reference there are no spans, and an empty table
+    gives no rows.
+    """
+    spark = df.sparkSession
+    held = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = held.withColumn("spans", F.array().cast(RANGES))
+    sizes = reference.select(F.col(text_col).alias("text")).where("text is not null").withColumn("n", F.size(F.split("text", "[ \\t-\\r]+"))).where(F.col("n") >= window)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    n_shards = -(-total // SHARD_WORDS)
+    for shard in range(n_shards):
+        automaton = Automaton()
+        for row in sizes.where(F.pmod(F.xxhash64("text"), F.lit(n_shards)) == shard).select("text").distinct().toLocalIterator():
+            automaton.add(codes().of(row["text"].encode().split()).tolist())
+        sent = spark.sparkContext.broadcast(automaton)
+
+        def matched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 1, SLICE_BYTES):
+                spans = []
+                for raw, before in zip(utf8(part.column(1)), part.column(2).to_pylist()):
+                    code = codes().of(raw.split())
+                    cover = np.zeros(len(code) + 1, dtype=np.int64)
+                    at = np.flatnonzero(sent.value.matches(code.tolist(), window)) if len(code) >= window else []
+                    for start, end in [(b["start"], b["end"]) for b in before] + [(k, k + window) for k in at]:
+                        cover[start] += 1
+                        cover[end] -= 1
+                    spans.append(_ranges(np.cumsum(cover[:-1]) > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["id", "text", "spans"])
+
+        found = cut(found.mapInArrow(matched, found.schema))
+        sent.destroy()
+    return found.withColumnRenamed("id", id_col)
 
 
 def repeated_passages(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,12 +225,11 @@ def repeated_passages(df: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    as_bytes = lambda c: c.cast(pa.binary() if pa.types.is_string(c.type) else pa.large_binary()).to_pylist()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SLICE_BYTES):
             n_words, blobs, kept, anchors = [], [], [], []
-            for raw in as_bytes(part.column(1)):
+            for raw in utf8(part.column(1)):
                 words = raw.split()
                 n_words.append(len(words))
                 blobs.append(hashlib.sha256(raw).digest())
@@ -206,7 +250,7 @@ def repeated_passages(df: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, SLICE_BYTES):
             runs: list[list[dict]] = []
-            for raw, held in zip(as_bytes(part.column(1)), part.column(3)):
+            for raw, held in zip(utf8(part.column(1)), part.column(3)):
                 code = codes().of(raw.split())
                 own = []
                 if len(code) >= window:
@@ -272,7 +316,7 @@ def repeated_passages(df: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, SLICE_BYTES):
             spans, kept = [], []
-            for raw, ranges in zip(as_bytes(part.column(2)), part.column(3).to_pylist()):
+            for raw, ranges in zip(utf8(part.column(2)), part.column(3).to_pylist()):
                 words = np.array(raw.split(), dtype=object)
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
                 for r in ranges:
