@@ -7,8 +7,8 @@ The posterior of a pattern is the weak label of its documents.  On a bounded sam
 train a sparse logistic model over hashed features, which then scores all documents.
 
 The ``labels`` table is one more labeller, for the rows that it covers, and the source of one
-lexicon, whose words are counted over all labelled documents.  The scorers are fitted on the weak
-labels of at most ``max_fitted`` rows: those that ``labels`` covers first, then others, each part in
+lexicon, which is learned from at most ``max_counted`` labelled documents (so many ids and labels
+go to all tasks, and no text is shuffled for it).  The scorers are fitted on the weak labels of at most ``max_fitted`` rows: those that ``labels`` covers first, then others, each part in
 the order of a hash of the id; the toxic scorer on the covered ones alone, if there are any.
 
 Texts are read in slices: each word becomes a number, what a word says by itself is worked out once
@@ -18,7 +18,6 @@ and kept, and the documents of a slice are summed up together.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -30,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, set_apart, shared_folder, slices, utf8
+from .common import cut, set_apart, slices, utf8
 
 #: Rows, each with its weak label, that the scorers are fitted on at most.
 MAX_FITTED = 8000
+#: Labelled rows that the lexicon is learned from at most.
+MAX_COUNTED = 30_000
 #: A lexicon word: the share of labelled documents that hold it and are toxic is at least this
 #: (lower end of the 95 % interval).
 LEXICON_SHARE = 0.65
@@ -272,14 +273,14 @@ def fit_sparse(rows: list[np.ndarray], wanted: np.ndarray, rounds: int = 300, pe
     """
     if not len(rows):
         return {-1: 0.0}
-    names, index, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner, index = np.repeat(np.arange(len(rows), dtype=np.int32), list(map(len, rows))), np.concatenate(rows).astype(np.int32)
     positive = min(max(wanted.mean(), 1e-3), 1 - 1e-3)
     weight = (wanted / positive + (1 - wanted) / (1 - positive)) / (2 * len(rows))
-    slope = np.bincount(index, weights=(weight * (0.5 - wanted))[owner], minlength=len(names))
-    kept = (seen >= least_rows) & (np.abs(slope) > least_slope)
-    chosen = kept[index]
-    owner, index, names = owner[chosen], (np.cumsum(kept) - 1)[index[chosen]], np.append(names[kept], -1)
+    slope = np.bincount(index, weights=(weight * (0.5 - wanted))[owner], minlength=BUCKETS)
+    kept = (np.bincount(index, minlength=BUCKETS) >= least_rows) & (np.abs(slope) > least_slope)
+    names = np.append(np.flatnonzero(kept), -1)
+    place, chosen = np.cumsum(kept, dtype=np.int32) - 1, kept[index]
+    owner, index = owner[chosen], place[index[chosen]]
     owner, index = np.concatenate([owner, np.arange(len(rows))]), np.concatenate([index, np.full(len(rows), len(names) - 1)])
     forward = lambda w: np.bincount(owner, weights=w[index], minlength=len(rows))
     back = lambda x: np.bincount(index, weights=x[owner], minlength=len(names))
@@ -365,19 +366,17 @@ def _lexicon(labelled: DataFrame) -> np.ndarray | None:
     return np.array(sorted(found), dtype=np.int64) if found else None
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED, max_counted: int = MAX_COUNTED) -> dict:
     """The model: rates of the labellers, weak labels by pattern, and the weights of both scorers.
 
-    Votes, pattern counts and the lexicon cover all documents; the scorers are fitted on the at most
-    ``max_fitted`` sampled rows.  The driver gets the pattern counts (at most 3 to the number of
+    Votes and pattern counts cover all documents; the lexicon is learned from at most
+    ``max_counted`` labelled rows and the scorers from at most ``max_fitted``.  The driver gets the pattern counts (at most 3 to the number of
     labellers), the lexicon, and the hashed features of the sample.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    # written, so that Spark knows the size and sends the labels to all tasks only if they are few
-    path = f"{shared_folder(docs.sparkSession)}/labels-{uuid.uuid4().hex}"
-    _labelled(docs, labels, id_col).write.parquet(path)
-    given = docs.sparkSession.read.parquet(path)
-    toxic = texts.join(given.where("toxic is not null"), F.col("id") == F.col("label_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    given = cut(_labelled(docs, labels, id_col))
+    counted_ids = cut(given.where("toxic is not null").select(F.col("label_id").alias("counted_id"), F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).orderBy(F.xxhash64("counted_id"), "counted_id").limit(max_counted))
+    toxic = texts.join(F.broadcast(counted_ids), F.col("id") == F.col("counted_id")).select("text", "toxic")
     lexicon = _lexicon(toxic)
 
     def votes(batches: Iterator[pa.RecordBatch], fitted: bool) -> Iterator[pa.RecordBatch]:
@@ -408,7 +407,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     sample = texts.join(F.broadcast(chosen.select("chosen_id")), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text")
     hashed = sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary")
     rows = sorted(hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).collect(), key=lambda r: r["id"])
-    features = [np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in rows]
+    features = [np.frombuffer(r["features"], dtype=np.int32) for r in rows]
     model: dict = {"lexicon": lexicon, "max_fitted": max_fitted}
     for name, alarm in (("quality", NO), ("toxic", YES)):
         patterns: Counter = Counter()
@@ -453,7 +452,7 @@ def score(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(scored, schema)
 
 
-def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_fitted: int = MAX_FITTED, max_counted: int = MAX_COUNTED) -> DataFrame:
     """All rows and columns of ``df`` with ``p_quality``, ``p_toxic`` and ``keep`` (of good quality and not toxic).
 
     ``labels`` has ``doc_id``, ``quality`` and ``toxic``; it may be empty, missing, or cover only
@@ -463,7 +462,7 @@ def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
     learned of short texts.  An empty table gives no rows.  Columns of ``df`` that are named like a
     result get ``_in`` appended, so nothing is overwritten.
     """
-    model = fit(df, labels, id_col, text_col, max_fitted)
+    model = fit(df, labels, id_col, text_col, max_fitted, max_counted)
     return score(set_apart(df, "p_quality", "p_toxic", "keep"), model, text_col).withColumn("keep", keep())
 
 
