@@ -35,6 +35,8 @@ from .common import cut, set_apart, slices
 BUCKET = 64
 FINE = 16
 SLICE_BYTES = 4 << 20
+#: Text whose keys are worked out together; it takes about a hundred times as much memory.
+KEY_BYTES = 1 << 20
 #: Bits of the fixed-size filters that spare rows that can't match a shuffle.
 FILTER_BITS = 1 << 20
 LAST = 2**63 - 1
@@ -249,7 +251,7 @@ def removed_lines(rows: DataFrame, min_chars: int, edits: int, chars_per_edit: i
 
     def keys(batches: Iterator[pa.RecordBatch], fine: bool, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         segments = Segments(edits, chars_per_edit, fine)
-        for part in slices(batches, 1, SLICE_BYTES):
+        for part in slices(batches, 1, KEY_BYTES):
             contents = dict(zip(*(c.to_pylist() for c in part.columns))) if fine else {line_id(line.encode()): line for _, _, line in lines_of(part) if len(line) >= chars_per_edit}
             numbers = np.fromiter(contents, dtype=np.int64, count=len(contents))
             for own, key, indexed, _ in segments.keys(list(contents.values())):
