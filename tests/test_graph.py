@@ -1,5 +1,6 @@
 """Graph operators on hand-made graphs, with known answers and properties."""
 
+import collections
 import itertools
 import json
 import math
@@ -184,6 +185,78 @@ def test_clusters(spark):
     assert math.isclose(cluster.resolution(1.0), 0.5) and math.isclose(cluster.resolution(0.0), 30)
 
 
+def louvain_one_by_one(n, edges, gamma):
+    """Objective that nodes reach when they move one after another, at all levels."""
+    links = collections.defaultdict(lambda: collections.defaultdict(float))
+    for a, b in edges:
+        links[a][b] += 1
+        links[b][a] += 1
+    k = {v: sum(links[v].values()) for v in range(n)}
+    total, member = sum(k.values()) / 2, {v: v for v in range(n)}
+    while True:
+        at, mass, moved = {v: v for v in links}, dict(k), False
+        while True:
+            changed = False
+            for v in sorted(links):
+                near = collections.defaultdict(float, {at[v]: 0.0})
+                for u, w in links[v].items():
+                    if u != v:
+                        near[at[u]] += w
+                mass[at[v]] -= k[v]
+                stay = gamma * near[at[v]] - mass[at[v]] * k[v] / total
+                gain, to = max((gamma * w - mass[c] * k[v] / total, -c) for c, w in near.items())
+                if gain > stay + 1e-9:
+                    at[v], changed, moved = -to, True, True
+                mass[at[v]] += k[v]
+            if not changed:
+                break
+        member = {v: at[c] for v, c in member.items()}
+        if not moved:
+            break
+        lifted = collections.defaultdict(lambda: collections.defaultdict(float))
+        for v in links:
+            for u, w in links[v].items():
+                lifted[at[v]][at[u]] += w
+        links, k = lifted, {c: mass[c] for c in lifted}
+    return member
+
+
+def value_of(member, edges, gamma):
+    inner = sum(member[a] == member[b] for a, b in edges)
+    mass = collections.Counter()
+    for a, b in edges:
+        mass[member[a]] += 1
+        mass[member[b]] += 1
+    return gamma * inner - sum(m * m for m in mass.values()) / (2 * len(edges))
+
+
+@pytest.mark.parametrize("kind", ["ring", "planted"])
+def test_louvain_reaches_the_objective_of_moves_one_by_one(spark, kind):
+    draw = random.Random(8)
+    if kind == "ring":
+        n, edges = 96, [(4 * c + a, 4 * c + b) for c in range(24) for a in range(4) for b in range(a)] + [(4 * c, (4 * c + 5) % 96) for c in range(24)]
+    else:
+        n, edges = 80, [(a, b) for a in range(80) for b in range(a) if draw.random() < (0.5 if a // 16 == b // 16 else 0.03)]
+    nodes = spark.range(n)
+    graph = Graph(nodes, spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(edges)], "edge_id long, src long, dst long"))
+    gamma = cluster.resolution(0.5)
+    found = {r["id"]: r["cluster"] for r in cluster.louvain(graph).collect()}
+    assert value_of(found, edges, gamma) >= 0.98 * value_of(louvain_one_by_one(n, edges, gamma), edges, gamma)
+
+
+def test_text_tables_keep_rows_like_the_header_and_quoted_cells(spark, tmp_path):
+    path = tmp_path / "table.txt"
+    path.write_text('a b\n1 2\na b\n"x y"\t3\n\n')
+    assert sorted(map(tuple, readers.read_delimited(spark, str(path), "txt").collect())) == [("1", "2"), ("a", "b"), ("x y", "3")]
+    assert readers.read_delimited(spark, str(path), "txt", header=False).count() == 4
+
+
+def test_nearest_edges_with_a_clashing_attribute(spark):
+    graph = make(spark, "star")
+    named = graph.with_edges(graph.edges.withColumn("kept_", F.lit("mine")))
+    assert {r["kept_"] for r in transforms.knn_edges(named, "weight", 2).edges.collect()} == {"mine"}
+
+
 def test_pipeline_reuses_and_reports(spark):
     calls = []
 

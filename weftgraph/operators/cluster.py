@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, dense_ids
 from weftgraph.operators.components import component_labels
 from weftgraph.plans.iterate import cut
 
@@ -15,8 +15,8 @@ from weftgraph.plans.iterate import cut
 def cluster_sizes(assigned: DataFrame, name: str = "Cluster") -> DataFrame:
     """(id, cluster, size) from (id, community): ``Cluster 1`` is the largest, ties to the larger community id."""
     counts = assigned.groupBy(F.col("community").alias("c_")).agg(F.count("*").alias("size"))
-    ranked = counts.withColumn("n_", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("c_"))))
-    return assigned.join(ranked, F.col("community") == F.col("c_")).select("id", F.concat(F.lit(f"{name} "), F.col("n_").cast("string")).alias("cluster"), "size")
+    ranked = dense_ids(counts.select("c_", "size", (-F.col("size")).alias("by_size"), (-F.col("c_")).alias("by_id")), "by_size", "by_id", name="n_")
+    return assigned.join(ranked, F.col("community") == F.col("c_")).select("id", F.concat(F.lit(f"{name} "), (F.col("n_") + 1).cast("string")).alias("cluster"), "size")
 
 
 def resolution(granularity: float) -> float:
@@ -45,7 +45,8 @@ def louvain(graph: Graph, granularity: float = 0.5, weight: str | None = None, m
 
     In a round every node of one half (by a hash of node and round, so that neighbours seldom swap)
     moves to the neighbouring community of largest positive gain ``gamma * w(node, community) - K * k /
-    W`` against staying.  When the objective rises no more, communities become nodes and it starts again.
+    W`` against staying; what a node of a coarser level holds inside says nothing of where it belongs.
+    When the objective rises no more, communities become nodes and it starts again.
     """
     gamma = resolution(granularity)
     links = cut(_links(graph, weight))
@@ -58,10 +59,10 @@ def louvain(graph: Graph, granularity: float = 0.5, weight: str | None = None, m
         start = best
         for number in range(max_rounds):
             mass = at.join(weights.toDF("w_", "k"), F.col("id") == F.col("w_")).groupBy(F.col("community").alias("m_")).agg(F.sum("k").alias("mass"))
-            near = links.join(at.toDF("i_", "c"), F.col("other") == F.col("i_")).groupBy("node", "c").agg(F.sum("w").alias("w"))
+            near = links.where("node <> other").join(at.toDF("i_", "c"), F.col("other") == F.col("i_")).groupBy("node", "c").agg(F.sum("w").alias("w"))
             own = at.join(weights.toDF("w_", "k"), F.col("id") == F.col("w_")).select("id", "community", "k")
             options = own.select(F.col("id").alias("node"), F.col("community").alias("c"), F.lit(0.0).alias("w")).unionByName(near).groupBy("node", "c").agg(F.sum("w").alias("w"))
-            scored = options.join(own, F.col("node") == F.col("id")).join(mass, F.col("c") == F.col("m_")).withColumn("gain", gamma * F.col("w") - (F.col("mass") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)) * F.col("k") / (2 * total))
+            scored = options.join(own, F.col("node") == F.col("id")).join(mass, F.col("c") == F.col("m_")).withColumn("gain", gamma * F.col("w") - (F.col("mass") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)) * F.col("k") / total)
             choice = scored.groupBy("node", "community").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("community"), F.col("gain"))).alias("stay"))
             moves = F.when((F.col("gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0), F.col("to")).otherwise(F.col("community"))
             moved = cut(choice.select(F.col("node").alias("id"), moves.alias("community")))
@@ -70,7 +71,7 @@ def louvain(graph: Graph, granularity: float = 0.5, weight: str | None = None, m
                 at, best, still = moved, value, 0
             else:
                 still += 1
-                if still == 3:
+                if still == 2:
                     break
         if best <= start + 1e-9:
             break

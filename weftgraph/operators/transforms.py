@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import matched, with_end_attributes
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, unique_name
 from weftgraph.operators.components import component_labels
 from weftgraph.operators.structure import component_sizes, connected_components, crop_to, degrees, remove_nodes
 from weftgraph.plans.iterate import cut
@@ -136,10 +136,11 @@ def _nearest(graph: Graph, attribute: str, most: Column, descending: bool, prefi
     by_node = Window.partitionBy("node")
     seen = graph.incidence(attribute).withColumn("rank_", F.row_number().over(by_node.orderBy(order, "edge_id", "side"))).withColumn("degree_", F.count("*").over(by_node))
     rank = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("rank_"))), F.lit(0)).cast("long")
-    kept = seen.where(F.col("rank_") <= most).groupBy(F.col("edge_id").alias("kept_")).agg(rank("out").alias(f"{prefix} Source Rank"), rank("in").alias(f"{prefix} Target Rank"))
+    own = unique_name("kept_", graph.edges.columns)
+    kept = seen.where(F.col("rank_") <= most).groupBy(F.col("edge_id").alias(own)).agg(rank("out").alias(f"{prefix} Source Rank"), rank("in").alias(f"{prefix} Target Rank"))
     a, b = F.col(f"`{prefix} Source Rank`"), F.col(f"`{prefix} Target Rank`")
     mean = F.when((a > 0) & (b > 0), (a + b) / 2).otherwise(F.greatest(a, b).cast("double"))
-    return graph.with_edges(graph.edges.join(kept, F.col("edge_id") == F.col("kept_")).drop("kept_").withColumn(f"{prefix} Mean Rank", mean))
+    return graph.with_edges(graph.edges.join(kept, F.col("edge_id") == F.col(own)).drop(own).withColumn(f"{prefix} Mean Rank", mean))
 
 
 def knn_edges(graph: Graph, attribute: str, k: int = 5, descending: bool = True) -> Graph:

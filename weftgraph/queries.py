@@ -172,20 +172,20 @@ PAIRS = "SELECT a.row AS a, b.row AS b, round({r}, 6) AS r FROM v a JOIN v b ON
 VECTORS = "WITH v AS (SELECT vec_id AS row, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)\n"
 COSINE = "list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v))"
 rounded = lambda pairs: pairs.select("a", "b", F.round("r", 6).alias("r"))
-FULL_ROWS = SPEND + ", v AS (SELECT row, list(x ORDER BY col) AS v FROM m GROUP BY row HAVING count(x) = 5 AND row < 400)\n"
-full_rows = lambda spark, d: X.spend(spark, d).where("row < 400")
+FULL_ROWS = SPEND + ", v AS (SELECT row, list(x ORDER BY col) AS v FROM m GROUP BY row HAVING count(x) = 5)\n"
+full_rows = lambda spark, d: X.spend(spark, d)
 complete = lambda m: m.join(m.groupBy(F.col("row").alias("r_")).agg(F.count("x").alias("k_")).where("k_ = 5"), F.col("row") == F.col("r_")).select("row", "col", "x")
 query("c1_pearson", FULL_ROWS + ", z AS (SELECT row, list_transform(v, lambda x: x - list_avg(v)) AS v FROM v) " + PAIRS.format(r=COSINE, t=0.95).replace("FROM v a JOIN v b", "FROM z a JOIN z b"))(
     lambda spark, d: rounded(C.all_pairs(C.pearson_rows(C.vectors(full_rows(spark, d))), 0.95))
 )
-query("c2_spearman", SPEND + ", k AS (SELECT row, col, rank() OVER (PARTITION BY row ORDER BY x DESC)::DOUBLE AS x FROM m WHERE row < 400 AND row IN (SELECT row FROM m GROUP BY row HAVING count(x) = 5)), z AS (SELECT row, list_transform(list(x ORDER BY col), lambda y: y - 3.0) AS v FROM k GROUP BY row) " + PAIRS.format(r=COSINE, t=0.85).replace("FROM v a JOIN v b", "FROM z a JOIN z b"))(
+query("c2_spearman", SPEND + ", k AS (SELECT row, col, rank() OVER (PARTITION BY row ORDER BY x DESC)::DOUBLE AS x FROM m WHERE row IN (SELECT row FROM m GROUP BY row HAVING count(x) = 5)), z AS (SELECT row, list_transform(list(x ORDER BY col), lambda y: y - 3.0) AS v FROM k GROUP BY row) " + PAIRS.format(r=COSINE, t=0.85).replace("FROM v a JOIN v b", "FROM z a JOIN z b"))(
     lambda spark, d: rounded(C.all_pairs(C.spearman_rows(complete(full_rows(spark, d))), 0.85))
 )
 query("c3_euclidean_similarity", VECTORS + PAIRS.format(r="1 / (1 + list_distance(a.v, b.v))", t=0.48))(lambda spark, d: rounded(C.all_pairs(X.similar(spark, d), 0.48, kind="euclidean")))
 query("c4_cosine", VECTORS + PAIRS.format(r=COSINE, t=0.3))(lambda spark, d: rounded(C.all_pairs(C.cosine_rows(X.similar(spark, d)), 0.3)))
 query("c5_bicor")(lambda spark, d: rounded(C.all_pairs(C.bicor_rows(complete(full_rows(spark, d))), 0.95)))
-TOKENS = "WITH v AS (SELECT p_partkey AS row, [p_brand, p_type, p_size::VARCHAR] AS v FROM part WHERE p_partkey < 600)\n"
-parts = lambda spark, d: C.token_rows(X.table(spark, d, "part").where("p_partkey < 600"), "p_partkey", ["p_brand", "p_type", "p_size"])
+TOKENS = "WITH v AS (SELECT p_partkey AS row, [p_brand, p_type, p_size::VARCHAR] AS v FROM part)\n"
+parts = lambda spark, d: C.token_rows(X.table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 SAME = "((a.v[1] = b.v[1])::INT + (a.v[2] = b.v[2])::INT + (a.v[3] = b.v[3])::INT) / 3.0"
 query("c6_jaccard", TOKENS + PAIRS.format(r=SAME, t=0.6))(lambda spark, d: rounded(C.all_pairs(parts(spark, d), 0.6, kind="jaccard")))
 query("c7_smc", TOKENS + PAIRS.format(r=SAME, t=0.6))(lambda spark, d: rounded(C.all_pairs(parts(spark, d), 0.6, kind="smc")))
@@ -198,8 +198,8 @@ query("c10_knn_edges", VECTORS + TOP + "SELECT DISTINCT a, b, round(r, 6) AS r F
 query("c11_correlation_attributes", VECTORS + f'SELECT a.row AS src, b.row AS dst, round({COSINE}, 6) AS "Cosine Correlation", round(abs({COSINE}), 6) AS "Absolute Cosine Correlation" FROM v a JOIN v b ON a.row < b.row WHERE {COSINE} <= -0.3')(
     lambda spark, d: C.correlation_attributes(rounded(C.all_pairs(C.cosine_rows(X.similar(spark, d)), 0.3, "negative")), "Cosine")
 )
-query("c12_correlation_matrix", FULL_ROWS.replace("row < 400", "row < 150") + ", z AS (SELECT row, list_transform(v, lambda x: x - list_avg(v)) AS v FROM v) SELECT a.row AS i, b.row AS j, round(CASE WHEN a.row = b.row THEN 1.0 ELSE " + COSINE + " END, 6) AS r FROM z a JOIN z b ON a.row <= b.row")(
-    lambda spark, d: (lambda rows: C.correlation_matrix(C.all_pairs(rows, -2.0), rows).select("i", "j", F.round("r", 6).alias("r")))(C.pearson_rows(C.vectors(X.spend(spark, d).where("row < 150"))))
+query("c12_correlation_matrix", FULL_ROWS + ", z AS (SELECT row, list_transform(v, lambda x: x - list_avg(v)) AS v FROM v) SELECT a.row AS i, b.row AS j, round(CASE WHEN a.row = b.row THEN 1.0 ELSE " + COSINE + " END, 6) AS r FROM z a JOIN z b ON a.row <= b.row")(
+    lambda spark, d: (lambda rows: C.correlation_matrix(C.all_pairs(rows, -2.0), rows).select("i", "j", F.round("r", 6).alias("r")))(C.pearson_rows(C.vectors(X.spend(spark, d))))
 )
 query("c13_column_distance", SPEND + "SELECT a.col AS a, b.col AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 2) AS distance FROM m a JOIN m b ON a.row = b.row AND a.col < b.col WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2")(
     lambda spark, d: C.column_distance(X.spend(spark, d)).select("a", "b", F.round("distance", 2).alias("distance"))
@@ -267,18 +267,16 @@ on_graph(X.supply, "t12_percent_nn", lambda g: ranks(T.percent_nn(g, "quantity",
 
 # metrics and clusters
 on_graph(X.geo, "a1_pagerank", lambda g: K.pagerank(g).select("id", F.round("pagerank", 4).alias("pagerank")))
-nations = lambda g: T.remove_nodes_where(g, F.col("kind") == "customer")
-on_graph(X.geo, "a2_betweenness", lambda g: (lambda h: K.betweenness(h)[0].join(h.nodes.select("id", "name"), "id").select("name", F.round("betweenness", 4).alias("betweenness")))(nations(g)),
-         GEO + """, t AS (SELECT comp.id, component, kind, name FROM comp JOIN n USING (id) WHERE kind <> 'customer'), sz AS (SELECT component, count(*) AS size FROM t GROUP BY 1),
+on_graph(X.geo, "a2_betweenness", lambda g: (lambda h: K.betweenness(h)[0].join(h.nodes.select("id", "name"), "id").select("name", F.round("betweenness", 4).alias("betweenness")))(g),
+         GEO + """, t AS (SELECT comp.id, component, kind, name FROM comp JOIN n USING (id)), sz AS (SELECT component, count(*) AS size FROM t GROUP BY 1),
 below AS (SELECT e.dst AS id, 1 + (SELECT count(*) FROM e f JOIN t u ON u.id = f.src WHERE f.dst = e.src) AS part FROM e JOIN t ON t.id = e.src)
 SELECT name, round(coalesce((SELECT (size - 1) * (size - 1) - sum(part * part) - CASE WHEN t.kind = 'nation' THEN (size - 1 - sum(part)) * (size - 1 - sum(part)) ELSE 0 END FROM below WHERE below.id = t.id), 0), 4)::DOUBLE AS betweenness FROM t JOIN sz USING (component)""")
-on_graph(X.geo, "a3_eccentricity", lambda g: (lambda h: K.eccentricity(h).join(h.nodes.select("id", "name"), "id").select("name", "eccentricity"))(nations(g)),
-         GEO + """, t AS (SELECT comp.id, component, kind, name FROM comp JOIN n USING (id) WHERE kind <> 'customer'), te AS (SELECT src, dst FROM e JOIN t ON t.id = src UNION ALL SELECT dst, src FROM e JOIN t ON t.id = src),
+on_graph(X.geo, "a3_eccentricity", lambda g: (lambda h: K.eccentricity(h).join(h.nodes.select("id", "name"), "id").select("name", "eccentricity"))(g),
+         GEO + """, t AS (SELECT comp.id, component, kind, name FROM comp JOIN n USING (id)), te AS (SELECT src, dst FROM e JOIN t ON t.id = src UNION ALL SELECT dst, src FROM e JOIN t ON t.id = src),
 walk AS (SELECT id AS s, id AS v, -1 AS was, 0 AS hops FROM t UNION ALL SELECT s, te.dst, v, hops + 1 FROM walk JOIN te ON te.src = v WHERE te.dst <> was) SELECT name, CAST(max(hops) AS BIGINT) AS eccentricity FROM walk JOIN t ON t.id = s GROUP BY s, name""")
-heavy = lambda g: T.keep_edges_where(g, P.at_least(F.col("quantity"), 75))
-on_graph(X.supply, "a4_louvain", lambda g: L.louvain(heavy(g)))
-on_graph(X.supply, "a5_weighted_louvain", lambda g: L.louvain(heavy(g), weight="quantity"))
-on_graph(X.supply, "a6_mcl", lambda g: L.mcl(heavy(g)))
+on_graph(X.geo, "a4_louvain", lambda g: L.louvain(g))
+on_graph(X.geo, "a5_weighted_louvain", lambda g: L.louvain(g.with_edges(g.edges.withColumn("pull", F.col("edge_id") % 7 + 1)), weight="pull"))
+on_graph(X.geo, "a6_mcl", lambda g: L.mcl(g))
 on_graph(X.geo, "a7_cluster_sizes", lambda g: L.cluster_sizes(G.connected_components(g).nodes.select("id", F.col("component").alias("community"))), GEO + ", z AS (SELECT component, count(*) AS size FROM comp GROUP BY 1) SELECT id, 'Cluster ' || r AS cluster, size FROM comp JOIN (SELECT *, row_number() OVER (ORDER BY size DESC, component DESC) AS r FROM z) USING (component)")
 
 # attributes and predicates

@@ -14,14 +14,21 @@ DELIMITERS = {"csv": ",", "tsv": "\t", "ssv": ";"}
 
 
 def read_delimited(spark: SparkSession, path: str, kind: str = "csv", header: bool = True) -> DataFrame:
-    """A table of text columns.  ``txt`` splits at runs of spaces or tabs; an empty cell is missing."""
+    """A table of text columns.  ``txt`` splits at runs of spaces or tabs outside double quotes; an empty cell is missing.
+
+    The header is the first line alone: a later row that equals it is a row.
+    """
     if kind != "txt":
         return spark.read.csv(path, sep=DELIMITERS[kind], header=header, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False)
     lines = spark.read.text(path).where(F.length(F.trim(F.translate("value", "\t", " "))) > 0)
-    cells = lines.select(F.split(F.trim(F.regexp_replace("value", "[ \t]+", " ")), " ").alias("c"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    cells = lines.select(F.transform(F.regexp_extract_all("value", F.lit('"[^"]*"|[^ \t"]+'), F.lit(0)), lambda x: F.regexp_replace(x, '^"|"$', "")).alias("c"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     first = cells.orderBy("at").first()
     names = first["c"] if header and first else [f"_c{k}" for k in range(len(first["c"]) if first else 0)]
-    rows = cells.where(F.col("at.file_path") != "") if not header else cells.where(F.array_join("c", "\t") != "\t".join(names))
+    head = F.lit(False)
+    if header and first:
+        path, block, number = first["at"]
+        head = (F.col("at.file_path") == path) & (F.col("at.file_block_start") == block) & (F.col("at").getField(cells.schema["at"].dataType.names[2]) == number)
+    rows = cells.where(~head)
     return rows.select(*[F.get("c", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
