@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
 
+def long_columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a small table of longs, on the driver, as arrays."""
+    table = df.toArrow()
+    return [column.to_numpy() for column in table.columns]
+
+
 def set_apart(df: DataFrame, *results: str) -> DataFrame:
     """``df`` with the columns that are named like a result renamed: ``_in`` is added until no name is left twice."""
     taken = {name.lower() for name in (*df.columns, *results)}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, set_apart, slices
+from .common import cut, long_columns, set_apart, slices
 
 #: Lines of a bucket beyond which it is cut finer, and the number of segments then.
 BUCKET = 64
@@ -194,8 +194,8 @@ def _bits(keys: DataFrame) -> np.ndarray:
     place = F.col(keys.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1))
     words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for row in words.collect():  # at most FILTER_BITS / 64 rows
-        bits[row["w"]] = row["b"]
+    at, held = long_columns(words)  # at most FILTER_BITS / 64 rows
+    bits[at] = held
     return bits
 
 

@@ -406,8 +406,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     chosen = cut(turns.orderBy("turn", F.xxhash64("chosen_id"), "chosen_id").limit(max_fitted).drop("turn"))
     sample = texts.join(F.broadcast(chosen.select("chosen_id")), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text")
     hashed = sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary")
-    rows = sorted(hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).collect(), key=lambda r: r["id"])
-    features = [np.frombuffer(r["features"], dtype=np.int32) for r in rows]
+    sampled = hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).orderBy("id").toArrow()
+    rows = sampled.drop_columns(["features"]).to_pylist()
+    features = [np.frombuffer(held.as_buffer(), dtype=np.int32) for held in sampled.column("features")]
     model: dict = {"lexicon": lexicon, "max_fitted": max_fitted}
     for name, alarm in (("quality", NO), ("toxic", YES)):
         patterns: Counter = Counter()
