@@ -23,6 +23,8 @@ QUERY_BLOCK = 2048
 LEAF_ROWS = 256
 #: Products and sums stay exact in doubles below this.
 EXACT = 2**53
+#: Scores beyond the longs are held at their ends.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class BoxTree:
@@ -50,7 +52,7 @@ class BoxTree:
     def search(self, query: np.ndarray, own: int, k: int, least) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, none below ``least``; ties to the smaller id."""
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.vectors.dtype)
-        bound = lambda n: np.maximum(query * self.nodes[n][0], query * self.nodes[n][1]).sum()
+        bound = lambda n: min(max(np.maximum(query * self.nodes[n][0], query * self.nodes[n][1]).sum(), LEAST), MOST)
         heap = [(-bound(self.root), self.root)]
         while heap:
             most, node = heapq.heappop(heap)
@@ -65,6 +67,8 @@ class BoxTree:
                 continue
             rows = self.rows[node]
             scores = self.vectors[rows] @ query
+            if scores.dtype == object:
+                scores = np.minimum(np.maximum(scores, LEAST), MOST)
             keep = (scores >= least) & (self.ids[rows] != own)
             if keep.any():
                 ids, best = np.concatenate([best_ids, self.ids[rows][keep]]), np.concatenate([best, scores[keep]])
@@ -78,11 +82,12 @@ class BoxTree:
 def _searched(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(candidates) and len(queries):
-        vectors, asked = np.array(candidates["v"].tolist(), dtype=object), np.array(queries["v"].tolist(), dtype=object)
-        largest = max(1, int(np.abs(vectors).max(initial=0))) * max(1, int(np.abs(asked).max(initial=0))) * max(1, vectors.shape[1])
-        kind = np.float64 if largest < EXACT else object
-        tree = BoxTree(candidates["vec_id"].to_numpy(dtype=np.int64), vectors.astype(kind))
-        for own, key, query, least in zip(queries["vec_id"].tolist(), queries["key_"].tolist(), asked.astype(kind), queries["least"].tolist()):
+        vectors, asked = np.array(candidates["v"].tolist(), dtype=np.float64), np.array(queries["v"].tolist(), dtype=np.float64)
+        largest = max(1.0, np.abs(vectors).max(initial=0)) * max(1.0, np.abs(asked).max(initial=0)) * vectors.shape[1]
+        if largest >= EXACT:
+            vectors, asked = (np.array([[int(x) for x in row] for row in held], dtype=object) for held in (vectors.tolist(), asked.tolist()))
+        tree = BoxTree(candidates["vec_id"].to_numpy(dtype=np.int64), vectors)
+        for own, key, query, least in zip(queries["vec_id"].tolist(), queries["key_"].tolist(), asked, queries["least"].astype(object).tolist()):
             ids, scores = tree.search(query, own, k, -np.inf if least is None or least != least else least)
             out.append(pd.DataFrame({"query_id": own, "key_": key, "vec_id": ids, "score": [int(s) for s in scores]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "key_": [], "vec_id": [], "score": []}).astype("int64")
@@ -91,15 +96,19 @@ def _searched(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """For each query row its k highest integer inner products: query_id, rank, vec_id, score.
 
-    Components become ``floor(scale * x)``.  Candidates are all rows of the same dimension with
+    Components become ``floor(scale * x)``, whole numbers of any size; a score beyond the longs
+    is given as the nearest long.  Candidates are all rows of the same dimension with
     another id; fewer than k are all returned.  Ties go to the smaller id.  Rows whose id or vector
-    is null, or whose vector is empty or holds a null or non-finite component, take no part.
+    is null, or whose vector is empty or holds a null or non-finite component, take no part, nor do
+    those that ``scale`` makes infinite.
     Repeated query rows are asked once; repeated candidate rows each count.
     """
     usable = F.col(id_col).isNotNull() & (F.size(F.coalesce(F.col(vector_col), F.array().cast("array<double>"))) > 0)
-    finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(scaled(x)) | (F.abs(scaled(x)) == float("inf")))
     vectors = cut(
-        df.where(usable).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("asked"))
+        df.where(usable).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: whole(scaled(x))).alias("v"), is_query.alias("asked"))
     ).withColumn("dim", F.size("v"))
     n, n_queries = vectors.agg(F.count("*"), F.count_if("asked")).first()
     n_shards, n_blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
