@@ -216,6 +216,16 @@ def test_kd_topk(spark, monkeypatch):
     assert kd_topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_kd_topk_of_large_components(spark):
+    vectors = {0: [1e30, 1.0], 1: [1e30, -3.5], 2: [-1e30, 2.0], 3: [0.5, 0.25], 4: [3e15, 1e4], 5: [1e306, 0.0]}
+    df = spark.createDataFrame([(k, v) for k, v in vectors.items()], "vec_id long, embedding array<double>")
+    out = kd_topk.top_k(df, F.lit(True), k=10).collect()
+    whole = {k: [int(np.floor(1024 * x)) for x in v] for k, v in vectors.items() if k != 5}
+    held = lambda a, b: min(max(sum(x * y for x, y in zip(whole[a], whole[b])), -(2**63)), 2**63 - 1)
+    wanted = {(q, rank, c, held(q, c)) for q in whole for rank, c in enumerate(sorted((c for c in whole if c != q), key=lambda c: (-held(q, c), c)), 1)}
+    assert {tuple(r) for r in out} == wanted
+
+
 def test_histogram_shards(docs):
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(text) + 1).alias("bytes"), F.crc32(text).alias("crc"))
@@ -271,6 +281,18 @@ def classes(prints, most=2):
     return {fp: least[root(fp)] for fp in names}
 
 
+@pytest.mark.parametrize("repeats", [1600, 0])
+def test_repeated_rows_leave_shards_equal(spark, repeats):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(10).cast("long").alias("bytes")).union(spark.range(repeats).select(F.lit(7).cast("long"), F.lit(10).cast("long")))
+    out = histogram_shards.shards_by_bytes(rows, histogram_shards.hashed_key(F.col("doc_id")), F.col("bytes"), 16, spread=True).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(r["doc_id"] for r in out) == sorted([*range(100), *[7] * repeats])
+    assert all(sorted(held) == list(range(len(held))) for held in slots.values())
+    assert len(slots) == 16 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_simhash(docs):
     prints = [(i, simhash_slowly(t)) for i, t in pairs(docs)]
     component = classes(prints)

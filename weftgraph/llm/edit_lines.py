@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, long_columns, set_apart, slices
+from .common import FILTER_BITS, cut, in_filter, long_columns, set_apart, slices
 
 #: Lines of a bucket beyond which it is cut finer, and the number of segments then.
 BUCKET = 64
@@ -37,8 +37,6 @@ FINE = 16
 SLICE_BYTES = 4 << 20
 #: Text whose keys are worked out together; it takes about a hundred times as much memory.
 KEY_BYTES = 1 << 20
-#: Bits of the fixed-size filters that spare rows that can't match a shuffle.
-FILTER_BITS = 1 << 20
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15
 #: A gap in a pattern: no line holds it.
@@ -170,21 +168,10 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
 
 
-def _in_filter(wanted: DataFrame, key: str) -> Column:
-    """A condition on ``key`` that holds wherever ``wanted`` has it: a bitmap of fixed size."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    words = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-    bits = [0] * (FILTER_BITS // 64)
-    for row in words.collect():  # at most FILTER_BITS / 64 rows
-        bits[row["w"]] = row["b"]
-    held = F.element_at(F.lit(np.array(bits, dtype=np.int64)), (F.floor(place / 64) + 1).cast("int"))
-    return F.getbit(held, (place % 64).cast("int")) == 1
-
-
 def fetch_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, content) of the wanted (line, id, row, pos); only documents that can hold one are shuffled."""
     by_document = cut(wanted.groupBy(F.col("id").alias("id_"), F.col("row").alias("row_")).agg(F.collect_set(F.struct("line", "pos")).alias("wanted")))
-    near = rows.where(_in_filter(by_document.select(F.col("row_").alias("row")), "row"))
+    near = rows.where(in_filter(by_document.select(F.col("row_").alias("row")), "row"))
     held = near.join(by_document.hint("shuffle_hash"), (F.col("id") == F.col("id_")) & (F.col("row") == F.col("row_"))).dropDuplicates(["id", "row"])
     return held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.line", F.expr("lines[w.pos]").alias("content"))
 
@@ -338,7 +325,7 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = df.toDF(*[f"c{k}" for k in range(width)])
     own_id = F.coalesce(F.col(f"c{df.columns.index(id_col)}").cast("long"), F.lit(LAST))
     held = own.select("*", own_id.alias("own_id"), F.xxhash64(own_id, F.coalesce(F.col(f"c{at}"), F.lit(""))).alias("own_row"))
-    touched = _in_filter(gone.select(F.col("row_").alias("own_row")), "own_row")
+    touched = in_filter(gone.select(F.col("row_").alias("own_row")), "own_row")
     shuffled = held.where(touched).join(gone.hint("shuffle_hash"), (F.col("own_id") == F.col("id_")) & (F.col("own_row") == F.col("row_")), "left").select(*own.columns, "gone_")
     rest = held.where(~touched).select(*own.columns, F.lit(None).cast(gone.schema["gone_"].dataType).alias("gone_"))
 

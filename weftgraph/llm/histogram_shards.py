@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_filter
 
 #: Keys are below 2 ** KEY_BITS.
 KEY_BITS = 60
@@ -26,6 +26,18 @@ def hashed_key(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def spread_repeats(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the keys that several rows share replaced by hashes of the key and a row number, so that such rows spread over all keys.
+
+    A bitmap of fixed size says which keys repeat; the few others that it takes along get a new key too.
+    """
+    rows = cut(df)
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key)
+    if repeated.isEmpty():
+        return rows
+    return rows.withColumn(key, F.when(in_filter(repeated, key), hashed_key(F.col(key), F.monotonically_increasing_id())).otherwise(F.col(key)))
+
+
 def splitters(rows: DataFrame, key: str, size: str, n_shards: int, steps: int = 1024) -> list[int]:
     """For each shard but the first, the least key with at least its share of all bytes below it."""
     total = rows.agg(F.sum(size)).first()[0] or 0
@@ -59,15 +71,18 @@ def splitters(rows: DataFrame, key: str, size: str, n_shards: int, steps: int =
     return [done[i] for i in range(1, n_shards)] if total else []
 
 
-def shards_by_bytes(df: DataFrame, key: Column, size: Column, n_shards: int = 16, tie_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shards_by_bytes(df: DataFrame, key: Column, size: Column, n_shards: int = 16, tie_cols: tuple[str, ...] = ("doc_id",), spread: bool = False) -> DataFrame:
     """``df`` with ``size``, ``shard`` and ``slot``: the place in the shard, gapless from 0, in key order.
 
     A row's shard is ``floor(n_shards * bytes below its key / all bytes)``, so shards differ by a row
     at most from equal bytes.  Rows of one key stay together; ``tie_cols`` order them, and rows
-    alike in all of these are numbered in any order.  ``df`` should hold only the columns to place.
+    alike in all of these are numbered in any order.  With ``spread``, for keys whose order says
+    nothing, rows of a repeated key are spread instead, so that any number of repeated rows leaves
+    the shards equal.  ``df`` should hold only the columns to place.
     An empty table gives no rows; sizes must be positive and keys in [0, 2 ** 60).
     """
-    rows = cut(df.select(*[F.col(c) for c in df.columns], key.alias("key_"), size.cast("long").alias("size_")))
+    rows = df.select(*[F.col(c) for c in df.columns], key.alias("key_"), size.cast("long").alias("size_"))
+    rows = cut(spread_repeats(rows, "key_") if spread else rows)
     bounds = splitters(rows, "key_", "size_", n_shards)
     shard = F.lit(0)
     for bound in bounds:

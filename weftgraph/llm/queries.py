@@ -52,7 +52,7 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"))
     key = histogram_shards.hashed_key(F.col("doc_id"), F.col("text_crc32"))
-    sharded = histogram_shards.shards_by_bytes(rows, key, F.col("bytes"), n_shards=16, tie_cols=("doc_id", "text_crc32"))
+    sharded = histogram_shards.shards_by_bytes(rows, key, F.col("bytes"), n_shards=16, tie_cols=("doc_id", "text_crc32"), spread=True)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
