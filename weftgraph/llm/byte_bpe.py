@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 
 from .common import slices, texts
 
-#: Distinct pretokens that a worker remembers; beyond it the memory starts anew.
-CACHE_PRETOKENS = 500_000
-SLICE_BYTES = 2 << 20
+#: Bytes of the pretokens that a task remembers, about; beyond it the memory starts anew.
+CACHE_BYTES = 48 << 20
+#: Bytes that a remembered pretoken takes beside its own letters and ids.
+ENTRY_BYTES = 200
+SLICE_BYTES = 1 << 20
 #: Pretokens beyond this length are merged with a heap, where a matrix would take a round per merge.
 LONGEST_ROW = 256
 #: Cells of one matrix at most.
@@ -105,7 +107,11 @@ class ByteBPE:
         pattern = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.split = regex.compile(pattern).findall
         self.boundary = regex.compile("[A-Za-z](?= [A-Za-z])").search
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_long(self, raw: bytes) -> list[int]:
         """Ids of one long pretoken: a heap of pairs over a linked list."""
@@ -194,10 +200,12 @@ class ByteBPE:
         """The decimal ids of each text, joined by one space."""
         cut = [self.pretokens(text) for text in batch]
         wanted = set().union(*cut)
-        if len(self.known) + len(wanted) > CACHE_PRETOKENS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         known = self.known
-        self.learn(wanted - known.keys())
+        new = wanted - known.keys()
+        self.learn(new)
+        self.held += sum(ENTRY_BYTES + len(pretoken) + len(known[pretoken]) for pretoken in new)
         return [b"".join(map(known.__getitem__, pretokens))[1:] for pretokens in cut]
 
     def decode(self, ids: bytes) -> bytes:
@@ -222,6 +230,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
+        bpe.forget()  # the tables serve the worker's next tasks, what a task remembers goes
         for part in slices(batches, 1, SLICE_BYTES):
             encoded = bpe.encode(part.column(1).to_pylist())
             columns = [part.column(0), pa.array([ids.count(b" ") + bool(ids) for ids in encoded], pa.int64())]
@@ -231,6 +240,7 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             else:
                 columns.append(pa.array([np.array(ids.split(), dtype=np.int32) for ids in encoded], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        bpe.forget()
 
     return source.mapInArrow(encode, T.StructType(fields))
 

@@ -40,9 +40,9 @@ MAX_COUNTED = 30_000
 LEXICON_SHARE = 0.65
 Z2 = 1.96**2
 BUCKETS = 1 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of the remembered words, about, beyond which they are forgotten before the next slice.
-VOCABULARY = 48 << 20
+VOCABULARY = 32 << 20
 YES, NO, ABSTAIN = 1, 0, 2
 #: Posterior of a row whose given label says yes.
 TRUST = 0.98
