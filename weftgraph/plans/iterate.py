@@ -1,8 +1,9 @@
-"""Lineage cuts for operators that run in rounds."""
+"""The shared folder, and lineage cuts for operators that run in rounds."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared checkpoint folder and go on from there."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

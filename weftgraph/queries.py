@@ -20,6 +20,8 @@ from weftgraph.operators import select as S
 from weftgraph.operators import similarity as C
 from weftgraph.operators import structure as G
 from weftgraph.operators import transforms as T
+from weftgraph.plans.iterate import shared_path
+from weftgraph.plans.pipeline import Pipeline, step
 from weftgraph.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +109,40 @@ query("s3_read_adjacency_matrix", SPEND + """SELECT p.name AS source, 'C' || row
     lambda spark, d: readers.read_adjacency_matrix(X.spend(spark, d).groupBy(X.key("C", "row").alias("name")).pivot("col", [0, 1, 2, 3, 4]).agg(F.max("x")).toDF("name", *X.PRIORITIES), "name", 100000.0)
 )
 
+
+
+def written(spark: SparkSession, df: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
+    """The path of a new file of these rows in the shared folder."""
+    path = shared_path(spark, "written")
+    write(df, path)
+    return path
+
+
+@query("s4_read_delimited", "SELECT c_custkey::VARCHAR AS key, nullif(c_name, '') AS name, 'of \"' || c_nationkey || '\", ' || c_mktsegment AS note, c_acctbal::DOUBLE AS balance FROM customer")
+def s4_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as delimited text, with quotes and delimiters inside cells, and read again."""
+    note = F.concat(F.lit('of "'), F.col("c_nationkey").cast("string"), F.lit('", '), F.col("c_mktsegment"))
+    rows = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), note.alias("note"), F.col("c_acctbal").alias("balance"))
+    path = written(spark, rows, lambda df, p: df.write.csv(p, header=True, quote='"', escape='"'))
+    return readers.read_delimited(spark, path).select("key", "name", "note", F.col("balance").cast("double").alias("balance"))
+
+
+@query("s8_read_graph_parquet", SUPPLY + f"SELECT {EDGES} FROM e")
+def s8_read_graph_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supply graph saved as Parquet and read again."""
+    path = shared_path(spark, "graph")
+    writers.write_graph_parquet(X.supply(spark, sf_dir), path, {"made of": "lineitem"})
+    return edges(readers.read_graph_parquet(spark, path)[0])
+
+
+@query("k3_write_graph_parquet", SUPPLY + "SELECT id, name, kind, worth FROM n")
+def k3_write_graph_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the saved supply graph."""
+    path = shared_path(spark, "graph")
+    writers.write_graph_parquet(X.supply(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/nodes").select("id", "name", "kind", "worth")
+
+
 # preparation
 query("p1_infer_column_types", """SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderpriority']) AS "column", unnest(['int', 'int', 'string', 'float', 'string']) AS type""")(
     lambda spark, d: R.infer_column_types(X.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
@@ -183,7 +219,9 @@ query("c2_spearman", SPEND + ", k AS (SELECT row, col, rank() OVER (PARTITION BY
 )
 query("c3_euclidean_similarity", VECTORS + PAIRS.format(r="1 / (1 + list_distance(a.v, b.v))", t=0.48))(lambda spark, d: rounded(C.all_pairs(X.similar(spark, d), 0.48, kind="euclidean")))
 query("c4_cosine", VECTORS + PAIRS.format(r=COSINE, t=0.3))(lambda spark, d: rounded(C.all_pairs(C.cosine_rows(X.similar(spark, d)), 0.3)))
-query("c5_bicor")(lambda spark, d: rounded(C.all_pairs(C.bicor_rows(complete(full_rows(spark, d))), 0.95)))
+BICOR = SPEND + """, k AS (SELECT *, median(x) OVER (PARTITION BY row) AS md FROM m WHERE row IN (SELECT row FROM m GROUP BY row HAVING count(x) = 5)), d AS (SELECT *, median(abs(x - md)) OVER (PARTITION BY row) AS mad FROM k),
+u AS (SELECT row, col, x - md AS y, (x - md) / (9 * mad) AS u FROM d WHERE mad > 0), z AS (SELECT row, list(CASE WHEN u * u < 1 THEN y * pow(1 - u * u, 2) ELSE 0 END ORDER BY col) AS v FROM u GROUP BY row) """
+query("c5_bicor", BICOR + PAIRS.format(r=COSINE, t=0.95).replace("FROM v a JOIN v b", "FROM z a JOIN z b"))(lambda spark, d: rounded(C.all_pairs(C.bicor_rows(complete(full_rows(spark, d))), 0.95)))
 TOKENS = "WITH v AS (SELECT p_partkey AS row, [p_brand, p_type, p_size::VARCHAR] AS v FROM part)\n"
 parts = lambda spark, d: C.token_rows(X.table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 SAME = "((a.v[1] = b.v[1])::INT + (a.v[2] = b.v[2])::INT + (a.v[3] = b.v[3])::INT) / 3.0"
@@ -256,7 +294,10 @@ on_graph(X.geo, "t4_contract_edges_where", lambda g: merged(g).edges.select("edg
 named = lambda g: g.with_nodes(g.nodes.withColumn("group", F.when(F.col("kind").isin("nation", "region"), "land").otherwise(F.col("kind"))))
 on_graph(X.geo, "t5_contract_by_attribute", lambda g: T.contract_by_attribute(named(g), "group").nodes.select("id", "head", "multiplicity"), GEO + ", l AS (SELECT comp.id, min(comp.id) OVER (PARTITION BY component) AS head FROM comp JOIN n USING (id) WHERE kind IN ('nation', 'region')) SELECT id, head, count(*) OVER (PARTITION BY head) AS multiplicity FROM (SELECT n.id, coalesce(head, n.id) AS head FROM n LEFT JOIN l USING (id))")
 on_graph(X.geo, "t6_separate_by_attribute", lambda g: T.separate_by_attribute(named(g), "group").edges.select("edge_id"), GEO + "SELECT edge_id FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.kind = 'nation' AND b.kind = 'region'")
-on_graph(X.geo, "t7_remove_leaves", lambda g: both(T.remove_leaves(g)), GEO + ", kn AS (SELECT id FROM n WHERE (SELECT count(*) FROM e WHERE src = n.id) + (SELECT count(*) FROM e WHERE dst = n.id) > 1), ke AS (SELECT * FROM e WHERE src IN (SELECT id FROM kn) AND dst IN (SELECT id FROM kn)) " + BOTH)
+LEAFLESS = GEO + ", kn AS (SELECT id FROM n WHERE (SELECT count(*) FROM e WHERE src = n.id) + (SELECT count(*) FROM e WHERE dst = n.id) > 1), ke AS (SELECT * FROM e WHERE src IN (SELECT id FROM kn) AND dst IN (SELECT id FROM kn)) " + BOTH
+on_graph(X.geo, "t7_remove_leaves", lambda g: both(T.remove_leaves(g)), LEAFLESS)
+# a step that names an unknown attribute is left out
+on_graph(X.geo, "r1_pipeline", lambda g: both(Pipeline(g).run([step(T.separate_by_attribute, attribute="no such attribute"), step(T.remove_leaves, limit=1)])), LEAFLESS)
 on_graph(X.geo, "t8_remove_branches", lambda g: both(T.remove_branches(g)), GEO + "SELECT 'node' AS element, id FROM n WHERE false")
 on_graph(X.geo, "t9_spanning_tree", lambda g: T.spanning_tree(g).edges.select("edge_id"), GEO + "SELECT edge_id FROM e")
 on_graph(X.supply, "t10_edge_reduction", lambda g: T.edge_reduction(g).edges.select("edge_id"))
