@@ -121,6 +121,15 @@ def test_secret_ledger_scans_only_what_is_new(spark, awkward, tmp_path):
     assert spark.read.parquet(path).count() == len(after) + len(after) // 3
 
 
+def test_ledger_pairs_that_were_appended_twice_count_once(awkward, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger = secret_ledger.update_ledger(awkward, path)
+    ledger.write.parquet(f"{path}-again")
+    awkward.sparkSession.read.parquet(f"{path}-again").write.mode("append").parquet(path)
+    found = [(r["doc_id"], [(x["start"], x["order"], x["kind"], x["end"]) for x in r["findings"]]) for r in secret_ledger.scan_secrets(awkward, path).collect()]
+    same(found, [(i, secrets_of(t)) for i, t in pairs(awkward)])
+
+
 def test_decontamination(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     rows = [(r["item_id"], r["text"]) for r in bench.collect()]

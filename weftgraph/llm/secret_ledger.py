@@ -46,6 +46,10 @@ RULES = (
 )
 
 
+#: Parts that the paths of one blob are dealt into.
+SALTS = 32
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (start, end) in code points, end exclusive, of the matches that count."""
     pattern = F.lit(rule.pattern)
@@ -110,9 +114,12 @@ def scan_secrets(versions: DataFrame, ledger_path: str | None = None, rules: tup
         ledger_path = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
     ledger = update_ledger(versions, ledger_path, rules, id_col, text_col)
     order = F.create_map(*[x for k, rule in enumerate(rules) for x in (F.lit(rule.name), F.struct(F.lit(k).alias("order"), F.lit(rule.kind).alias("kind")))])
-    found = ledger.where((F.size("spans") > 0) & F.col("rule").isin([rule.name for rule in rules]))
+    # two runs at once may both append a pair; its spans are the same
+    found = ledger.where((F.size("spans") > 0) & F.col("rule").isin([rule.name for rule in rules])).dropDuplicates(["blob", "rule"])
     kind = order[F.col("rule")]
     by_blob = found.select("blob", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), kind["order"].alias("order"), kind["kind"].alias("kind"), x["end"].alias("end"))).alias("spans")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("findings"))
-    paths = texts(versions, id_col, text_col).select(id_col, F.sha2(text_col, 256).alias("blob"))
+    # the paths of one blob are dealt into SALTS parts, and the findings, which few blobs have, go to each
+    paths = texts(versions, id_col, text_col).select(id_col, F.sha2(text_col, 256).alias("blob"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt_"))
+    by_blob = by_blob.select("blob", "findings", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
     empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    return paths.join(by_blob, "blob", "left").select(id_col, "blob", F.coalesce("findings", empty).alias("findings"))
+    return paths.join(by_blob, ["blob", "salt_"], "left").select(id_col, "blob", F.coalesce("findings", empty).alias("findings"))
