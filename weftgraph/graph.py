@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.iterate import cut
@@ -39,17 +39,41 @@ class Graph:
         return self.edges.select("edge_id", *columns, F.explode(ends).alias("end")).select("edge_id", "end.node", "end.other", "end.side", *columns)
 
 
-def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """``df`` numbered from 0 in the order of the given columns, which must be unique together.
+#: ``monotonically_increasing_id`` numbers the rows of a task by this many low bits; the others number the task.
+_ROW_BITS = 33
 
-    Rows are ranged over the cluster by these columns and numbered within each range; the ranges'
-    sizes give the offsets.  No task sees more than its range.
+
+def _ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` written once in the given order, over tasks and inside them, with ``range_`` and ``at_``, the place in the range."""
+    written = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seen_", F.monotonically_increasing_id()))
+    return written.withColumn("range_", F.shiftright("seen_", _ROW_BITS)).withColumn("at_", F.col("seen_").bitwiseAND((1 << _ROW_BITS) - 1)).drop("seen_")
+
+
+def dense_ids(df: DataFrame, *order: str | Column, name: str = "id") -> DataFrame:
+    """``df`` numbered from 0 in the order of the given columns; rows alike in all of them are numbered in any order.
+
+    Rows are ranged over the cluster by these columns and written once; the ranges' sizes give the
+    offsets, one row a range.  No task sees more than its range, and the result needs no further write.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    ranged = _ranged(df, *order)
     sizes = ranged.groupBy("range_").agg(F.count("*").alias("n_"))
-    before = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).select(F.col("range_").alias("r_"), "before_")
-    numbered = ranged.withColumn("k_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(before), F.col("range_") == F.col("r_")).select((F.col("k_") + F.col("before_")).cast("long").alias(name), *df.columns)
+    before = sizes.select(F.col("range_").alias("r_"), (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("before_"))
+    return ranged.join(F.broadcast(before), F.col("range_") == F.col("r_")).select((F.col("at_") + F.col("before_")).cast("long").alias(name), *df.columns)
+
+
+def segmented_ranks(df: DataFrame, by: str, *order: str | Column, place: str = "place_", size: str = "size_") -> DataFrame:
+    """``df`` with each row's place (from 1) among the rows of its ``by`` in the given order, and how many these are.
+
+    Rows are ranged over the cluster by ``by`` and the order, so one value's rows, however many, are
+    dealt over as many ranges as they fill.  A range counts the rows of each value; what the ranges
+    before hold of a value is the offset of its rows here.  Null is a value like any other.
+    """
+    ranged = _ranged(df, by, *order)
+    runs = ranged.groupBy(F.col("range_").alias("r_"), F.col(by).alias("by_")).agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    same = Window.partitionBy("by_")  # a row for each range that holds the value
+    runs = runs.select("r_", "by_", "first_", (F.sum("n_").over(same.orderBy("r_")) - F.col("n_")).alias("before_"), F.sum("n_").over(same).alias("all_"))
+    joined = ranged.join(runs, (F.col("range_") == F.col("r_")) & F.col(by).eqNullSafe(F.col("by_")))
+    return joined.select(*df.columns, (F.col("at_") - F.col("first_") + F.col("before_") + 1).alias(place), F.col("all_").alias(size))
 
 
 def graph_from_tables(node_table: DataFrame, key: str, edge_table: DataFrame, source: str, target: str) -> Graph:
@@ -61,12 +85,12 @@ def graph_from_tables(node_table: DataFrame, key: str, edge_table: DataFrame, so
     """
     rest = [c for c in node_table.columns if c != key]
     firsts = node_table.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("name")).agg(F.min(F.struct(*rest)).alias("rest_")).select("name", "rest_.*") if rest else node_table.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("name")).distinct()
-    nodes = cut(dense_ids(firsts, "name"))
+    nodes = dense_ids(firsts, "name")
     ids = nodes.select("id", "name")
     attributes = [c for c in edge_table.columns if c not in (source, target)]
     ends = edge_table.select(F.col(source).cast("string").alias("source_"), F.col(target).cast("string").alias("target_"), *attributes)
     joined = ends.join(ids.toDF("src", "s_"), F.col("source_") == F.col("s_")).join(ids.toDF("dst", "t_"), F.col("target_") == F.col("t_")).select("src", "dst", *attributes)
-    return Graph(nodes, cut(dense_ids(joined, "src", "dst", *attributes, name="edge_id")))
+    return Graph(nodes, dense_ids(joined, "src", "dst", *attributes, name="edge_id"))
 
 
 def unique_name(name: str, taken: list[str]) -> str:

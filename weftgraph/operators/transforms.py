@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import matched, with_end_attributes
-from weftgraph.graph import Graph, unique_name
+from weftgraph.graph import Graph, segmented_ranks, unique_name
 from weftgraph.operators.components import component_labels
 from weftgraph.operators.structure import component_sizes, connected_components, crop_to, degrees, remove_nodes
 from weftgraph.plans.iterate import cut
@@ -123,8 +123,7 @@ def edge_reduction(graph: Graph, percentage: float = 10, minimum: int = 5) -> Gr
 
     Draws come from a hash of node and number, so they repeat from run to run.
     """
-    by_node = Window.partitionBy("node")
-    ranked = graph.incidence().select("edge_id", "node", F.row_number().over(by_node.orderBy("edge_id", "side")).alias("place"), F.count("*").over(by_node).alias("degree"))
+    ranked = cut(segmented_ranks(graph.incidence().select("edge_id", "node", "side"), "node", "edge_id", "side", place="place", size="degree").select("edge_id", "node", "place", "degree"))
     draws = ranked.where("place = 1").select(F.col("node").alias("n_"), "degree", F.explode(F.expr(f"sequence(1, greatest({int(minimum)}, cast(floor(degree * {float(percentage)} / 100) as int)))")).alias("draw"))
     drawn = draws.select("n_", (F.pmod(F.xxhash64("n_", "draw"), F.col("degree")) + 1).alias("p_")).distinct()
     kept = ranked.join(drawn, (F.col("node") == F.col("n_")) & (F.col("place") == F.col("p_"))).select(F.col("edge_id").alias("kept_")).distinct()
@@ -133,8 +132,8 @@ def edge_reduction(graph: Graph, percentage: float = 10, minimum: int = 5) -> Gr
 
 def _nearest(graph: Graph, attribute: str, most: Column, descending: bool, prefix: str) -> Graph:
     order = F.desc_nulls_last(attribute) if descending else F.asc_nulls_last(attribute)
-    by_node = Window.partitionBy("node")
-    seen = graph.incidence(attribute).withColumn("rank_", F.row_number().over(by_node.orderBy(order, "edge_id", "side"))).withColumn("degree_", F.count("*").over(by_node))
+    ends = graph.incidence(attribute).select("edge_id", "node", "side", attribute)
+    seen = segmented_ranks(ends, "node", order, "edge_id", "side", place="rank_", size="degree_")
     rank = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("rank_"))), F.lit(0)).cast("long")
     own = unique_name("kept_", graph.edges.columns)
     kept = seen.where(F.col("rank_") <= most).groupBy(F.col("edge_id").alias(own)).agg(rank("out").alias(f"{prefix} Source Rank"), rank("in").alias(f"{prefix} Target Rank"))
