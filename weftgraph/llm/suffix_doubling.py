@@ -42,6 +42,8 @@ GRID = 16
 #: Windows of a text that are looked at together; below 2 ** PLACE_BITS.
 CHUNK = 1 << 19
 PLACE_BITS = 20
+#: Parts that the texts of one anchor are dealt into.
+PARTS = 16
 SLICE_BYTES = 1 << 20
 SPANS = "array<struct<start:long,end:long>>"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -227,7 +229,9 @@ def repeated_bytes(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     anchors = chosen.select("first", "blob", F.explode("anchors").alias("anchor"))
     again = chosen.select(F.explode("again").alias("anchor"), F.lit(2).alias("n"))
     shared = anchors.select("anchor", F.lit(1).alias("n")).unionByName(again).groupBy(F.col("anchor").alias("shared")).agg(F.sum("n").alias("n")).where("n > 1")
-    wanted = anchors.join(shared, F.col("anchor") == F.col("shared"), "left_semi").groupBy(F.col("first").alias("row_"), "blob").agg(F.collect_list("anchor").alias("wanted"))
+    # an anchor of very many texts is dealt into PARTS
+    shared = shared.select("shared", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    wanted = anchors.join(shared, (F.col("anchor") == F.col("shared")) & (F.pmod("first", F.lit(PARTS)) == F.col("part")), "left_semi").groupBy(F.col("first").alias("row_"), "blob").agg(F.collect_list("anchor").alias("wanted"))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0, SLICE_BYTES):
