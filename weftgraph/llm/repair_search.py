@@ -3,9 +3,9 @@
 A conversation's rows are kept, given another role, or deleted, and empty turns are inserted, until
 the roles read: nothing, or an optional system turn and then user and assistant in turn.  The search
 goes depth first, edits in ASCII order of their initials, under a bound on cost plus what the rest
-must cost at least; the bound rises to the least sum that exceeded it.  A state that failed is not
-entered again with as little to spend.  So the first accepting path is a cheapest one, and of these
-the least audit.
+must cost at least; the bound rises to the least sum that exceeded it.  What a state that failed
+turned out to need at least is kept, and it is not entered again with less to spend.  So the first
+accepting path is a cheapest one, and of these the least audit.
 
 Rows get their places by ranges over the cluster, and a search sees at most SEGMENT rows.  A longer
 conversation is a chain of segments: each is searched once for every role that can stand before
@@ -31,7 +31,7 @@ from weftgraph.graph import segmented_ranks
 from .common import cut
 
 #: Rows of one search.
-SEGMENT = 128
+SEGMENT = 32
 #: What stands before the next turn: nothing, system, user, assistant.
 NOTHING, SYSTEM, USER, ASSISTANT = range(4)
 #: The next state by initial.
@@ -52,23 +52,24 @@ def search(rows: tuple[tuple[str, int], ...], start: int, ends: tuple[int, ...],
     Turns can be inserted behind the last row only if it is the conversation's ``last``.
     """
     n = len(rows)
+    if not any(end >= USER or end == start or start == NOTHING and any(i == "s" and f in (CLEAN, TRUNCATED) for i, f in rows) for end in ends):
+        return None  # nothing leads to the first states but a kept system turn
     least = [0] * (n + 1)
     for k in range(n - 1, -1, -1):
         least[k] = least[k + 1] + (0 if rows[k][1] == CLEAN else DELETE)
     failed: dict[tuple[int, int], int] = {}
     path: list[str] = []
-    over = 0
-
-    def deeper(at: int, state: int, left: int) -> bool:
-        """Whether an accepting path for ``left`` or less goes on from here; ``path`` is then it."""
-        nonlocal over
-        if least[at] > left:
-            over = min(over, least[at] - left)
-            return False
+
+    def deeper(at: int, state: int, left: int) -> int:
+        """Below 0 if an accepting path for ``left`` or less goes on from here, which ``path`` then is; else what is needed from here at least.
+
+        What a state that failed needs is kept for later entries, also under later bounds.
+        """
+        needed = failed.get((at, state), least[at])
+        if needed > left:
+            return needed
         if at == n and state in ends:
-            return True
-        if failed.get((at, state), -1) >= left:
-            return False
+            return -1
         options = []
         if at < n:
             initial, fault = rows[at]
@@ -80,22 +81,23 @@ def search(rows: tuple[tuple[str, int], ...], start: int, ends: tuple[int, ...],
             if initial in STEPS[state]:
                 options.append(("K", KEEP + more, at + 1, STEPS[state][initial]))
             options.append(("R", REROLE + more, at + 1, NEXT[state][1]))
+        needed = 1 << 60
         for edit, cost, to, then in options:
             path.append(edit)
-            if deeper(to, then, left - cost):
-                return True
+            rest = deeper(to, then, left - cost)
+            if rest < 0:
+                return rest
+            needed = min(needed, cost + rest)
             path.pop()
-        failed[at, state] = left
-        return False
+        failed[at, state] = needed
+        return needed
 
     bound = least[0]
-    while bound <= DELETE * n + 2 * INSERT:  # all deleted, and what is missing inserted
-        over = 1 << 60
-        # what failed under a lower bound may now succeed, and what exceeded it counts again
-        failed.clear()
-        if deeper(0, start, bound):
+    while bound < 1 << 60:
+        over = deeper(0, start, bound)
+        if over < 0:
             return bound, "".join(path)
-        bound += over
+        bound = over
     return None
 
 
