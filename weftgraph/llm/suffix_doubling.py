@@ -42,7 +42,7 @@ GRID = 16
 #: Windows of a text that are looked at together; below 2 ** PLACE_BITS.
 CHUNK = 1 << 19
 PLACE_BITS = 20
-#: Parts that the texts of one anchor are dealt into.
+#: Parts that the texts and the pieces of one anchor are dealt into.
 PARTS = 16
 SLICE_BYTES = 1 << 20
 SPANS = "array<struct<start:long,end:long>>"
@@ -194,6 +194,12 @@ def shifted_pairs(held: DataFrame, before: int, after: int, bits: int) -> DataFr
     return held.mapInArrow(pairs, PAIRS)
 
 
+def dealt(anchors: DataFrame, name: str) -> DataFrame:
+    """(name, part): each anchor once for each of PARTS, so that what joins it is spread by anchor and part."""
+    parts = anchors.select(name, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return parts.repartition(name, "part")
+
+
 def repeated_bytes(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``spans`` (removed byte ranges: start, end), ``n_removed``, ``kept_sha256``.
 
@@ -229,8 +235,7 @@ def repeated_bytes(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     anchors = chosen.select("first", "blob", F.explode("anchors").alias("anchor"))
     again = chosen.select(F.explode("again").alias("anchor"), F.lit(2).alias("n"))
     shared = anchors.select("anchor", F.lit(1).alias("n")).unionByName(again).groupBy(F.col("anchor").alias("shared")).agg(F.sum("n").alias("n")).where("n > 1")
-    # an anchor of very many texts is dealt into PARTS
-    shared = shared.select("shared", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    shared = dealt(shared, "shared")
     wanted = anchors.join(shared, (F.col("anchor") == F.col("shared")) & (F.pmod("first", F.lit(PARTS)) == F.col("part")), "left_semi").groupBy(F.col("first").alias("row_"), "blob").agg(F.collect_list("anchor").alias("wanted"))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +265,8 @@ def repeated_bytes(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     runs = texts.select("blob", F.explode("runs").alias("run")).select("blob", "run.*")
     # equal pieces once; those of a kind of anchor that all pieces of, or none but one, are repeated need no ranks
     kinds = cut(runs.groupBy("digest", "anchor").agg(F.sum(F.size("starts")).alias("times")))
-    mixed = kinds.groupBy(F.col("anchor").alias("mixed")).agg(F.count("*").alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("mixed")
-    asked = kinds.join(mixed, F.col("anchor") == F.col("mixed"), "left_semi").select(F.col("digest").alias("asked"))
+    mixed = kinds.groupBy(F.col("anchor").alias("mixed")).agg(F.count("*").alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1")
+    asked = kinds.join(dealt(mixed, "mixed"), (F.col("anchor") == F.col("mixed")) & (F.pmod(F.xxhash64("digest"), F.lit(PARTS)) == F.col("part")), "left_semi").select(F.col("digest").alias("asked"))
     pieces = runs.join(asked, F.col("digest") == F.col("asked"), "left_semi").groupBy("digest").agg(F.first("lead").alias("lead"), F.first("windows").alias("windows"), F.first("raw").alias("raw"))
     pieces.withColumn("piece", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/pieces")
     pieces = spark.read.parquet(f"{folder}/pieces")
