@@ -1,17 +1,25 @@
-"""Similarity graphs: all pairs of rows by blocks, thresholds, nearest neighbours, discrete tokens."""
+"""Similarity graphs: metric joins of rows, thresholds, nearest neighbours, inverted indexes of discrete tokens."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.graph import dense_ids, unique_name
+from weftgraph.graph import dense_ids, segmented_ranks, unique_name
+from weftgraph.operators.linkage import cluster_order
 from weftgraph.operators.matrix import median_and_mad, tokenise_discrete
 from weftgraph.plans.iterate import cut
 
+#: Rows of one side of a block pair.
 BLOCK = 512
+#: Pivots of a metric join at most, and rows of a cell, about.
+PIVOTS = 512
+CELL = 128
 
 
 def vectors(m: DataFrame) -> DataFrame:
@@ -47,47 +55,200 @@ def bicor_rows(m: DataFrame) -> DataFrame:
     return cosine_rows(vectors(m.join(stats, F.col("row") == F.col("r_")).select("row", "col", weighted.alias("x"))))
 
 
+def reach(threshold: float, polarity: str, kind: str) -> float | None:
+    """The distance beyond which no pair passes; None where there is none.  Rows of length 1 differ by sqrt(2 - 2 r)."""
+    if kind == "euclidean":
+        return 1 / threshold - 1 if threshold > 0 else None
+    bound = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    return bound if bound < 2 else None
+
+
+def metric_cells(rows: DataFrame, bound: float | None, polarity: str = "positive", pivots: int | None = None) -> DataFrame:
+    """``rows`` (row, v) with ``cell``, that of the nearest pivot, and ``visits``, the later cells that may hold a row within ``bound``.
+
+    Pivots are rows drawn by a hash, PIVOTS at most, which the driver holds.  A row reaches a cell only
+    if its distance to the cell's pivot is within ``bound`` of the distances of that cell's own rows,
+    and if it is within ``bound`` of the plane between that pivot and its own.  For negative pairs it is
+    the opposite row that visits.  Without a bound all rows are one cell.
+    """
+    rows = rows.where("row is not null").select("row", "v")
+    one_cell = rows.select("row", "v", F.lit(0).alias("cell"), F.array().cast("array<int>").alias("visits"))
+    if bound is None:
+        return one_cell
+    wanted = pivots or max(1, min(PIVOTS, rows.count() // CELL))
+    drawn = rows.orderBy(F.xxhash64("row"), "row").limit(wanted).collect()
+    if not drawn:
+        return one_cell
+    at = np.unique(np.array([r["v"] for r in drawn], dtype=float), axis=0)
+    row_type = rows.schema["row"].dataType.simpleString()
+    far = lambda x: np.sqrt(np.maximum((x**2).sum(1)[:, None] + (at**2).sum(1) - 2 * x @ at.T, 0))
+
+    def home(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                d = far(np.array(part["v"].tolist()))
+                cell = d.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
+
+    homed = cut(rows.mapInPandas(home, f"row {row_type}, v array<double>, cell int, d double"))
+    # a row for each pivot
+    rings = {r["cell"]: (r["low"], r["high"]) for r in homed.groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high")).collect()}
+    low = np.array([rings.get(c, (np.inf, -np.inf))[0] for c in range(len(at))])
+    high = np.array([rings.get(c, (np.inf, -np.inf))[1] for c in range(len(at))])
+    apart = np.sqrt(np.maximum((at**2).sum(1)[:, None] + (at**2).sum(1) - 2 * at @ at.T, 1e-300))
+    slack = bound + 1e-9
+
+    def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            x, cell = np.array(part["v"].tolist()).reshape(len(part), -1), part["cell"].to_numpy()
+            near = np.zeros((len(part), len(at)), dtype=bool)
+            for sign in {"positive": (1,), "negative": (-1,), "both": (1, -1)}[polarity] if len(part) else ():
+                d = far(sign * x)
+                own = d.argmin(axis=1)
+                plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * np.maximum(apart[own], 1e-9))
+                near |= (d <= high + slack) & (d >= low - slack) & ((plane <= slack) | (np.arange(len(at)) == own[:, None]))
+            near &= np.arange(len(at)) > cell[:, None]
+            yield part.assign(visits=[np.flatnonzero(n).astype(np.int32) for n in near])[["row", "v", "cell", "visits"]]
+
+    return homed.mapInPandas(visit, f"row {row_type}, v array<double>, cell int, visits array<int>")
+
+
+def pairs_compared(cells: DataFrame) -> DataFrame:
+    """(compared, all): how many pairs of rows meet by their cells, and how many there are."""
+    home = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    visits = cells.select(F.explode("visits").alias("to")).groupBy("to").agg(F.count("*").alias("m"))
+    met = home.join(visits, F.col("cell") == F.col("to"), "left").agg(F.sum(F.expr("n * (n - 1) div 2 + n * coalesce(m, 0)")).alias("compared"), F.sum("n").alias("rows"))
+    return met.select(F.coalesce("compared", F.lit(0)).alias("compared"), F.coalesce(F.expr("rows * (rows - 1) div 2"), F.lit(0)).alias("all"))
+
+
 def all_pairs(rows: DataFrame, threshold: float, polarity: str = "positive", kind: str = "dot", limit: int | None = None) -> DataFrame:
     """(a, b, r) with a < b of all pairs of rows (row, v) that pass: r >= t, r <= -t, or |r| >= t.
 
-    ``kind``: ``dot``, ``euclidean`` (1 / (1 + distance)) or ``smc`` and ``jaccard`` over tokens.
-    Rows are dealt into blocks of BLOCK by their number; each pair of blocks meets in one task,
-    which multiplies them as matrices and lets only survivors out.  With ``limit``, a task passes on
-    just the pairs in either row's first ``limit`` of that block pair, which keeps every global first.
+    ``kind``: ``dot`` (of rows of length 1, if the threshold is above -1), ``euclidean`` (1 / (1 + distance)),
+    or ``smc`` and ``jaccard`` over tokens, which go to ``token_pairs`` if the threshold is above 0.
+    A threshold is a distance that pairs may have at most, so rows are dealt into the cells of pivots
+    and visit the cells that they can reach (``metric_cells``); a pair meets in the later of its two
+    cells.  A cell's rows and visitors are dealt into blocks of about BLOCK; each pair of blocks meets
+    in one task, which multiplies them as matrices and lets only survivors out.  With ``limit``, a
+    task passes on just the pairs in either row's first ``limit`` of that block pair, which keeps
+    every global first.
     """
-    numbered = cut(dense_ids(rows.where("row is not null"), "row", name="n_"))
-    n_blocks = -(-numbered.count() // BLOCK)
-    held = numbered.withColumn("block", (F.col("n_") / BLOCK).cast("int"))
-    # the block pair (i, j), i <= j, gets the rows of both
-    left = held.select("row", "v", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(max(0, n_blocks - 1)))).alias("j"), F.lit(0).alias("side"))
-    right = held.select("row", "v", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    discrete = kind in ("smc", "jaccard")
+    if discrete and threshold > 0:
+        return token_pairs(rows, threshold, kind)
+    cells = metric_cells(rows, None if discrete else reach(threshold, polarity, kind), polarity)
+    placed = cut(segmented_ranks(cells, "cell", "row", place="place", size="held").withColumn("block", ((F.col("place") - 1) / BLOCK).cast("int")))
+    visited = placed.select(F.explode("visits").alias("to")).groupBy("to").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guests"))
+    blocks = placed.groupBy("cell").agg((F.max("block") + 1).alias("blocks")).join(visited, F.col("cell") == F.col("to"), "left").select(F.col("cell").alias("cell_"), "blocks", F.coalesce("guests", F.lit(0)).alias("guests"))
+    blocks = F.broadcast(cut(blocks))  # a row for each pivot
+    home = placed.join(blocks, F.col("cell") == F.col("cell_"))
+    guest = placed.select("row", "v", F.explode("visits").alias("cell")).join(blocks, F.col("cell") == F.col("cell_"))
+    # the block pair (i, j) of a cell, i <= j, gets the rows of both, and (i, -j) those of block i and of the visitors' block j
+    left = home.select("row", "v", "cell", F.col("block").alias("i"), F.explode(F.concat(F.sequence("block", F.col("blocks") - 1), F.when(F.col("guests") > 0, F.sequence(-F.col("guests"), F.lit(-1))).otherwise(F.array().cast("array<int>")))).alias("j"), F.lit(0).alias("side"))
+    right = home.select("row", "v", "cell", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    comes = guest.select("row", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (-1 - F.pmod(F.xxhash64("row"), F.col("guests"))).cast("int").alias("j"), F.lit(1).alias("side"))
     row_type = rows.schema["row"].dataType.simpleString()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0].sort_values("row"), pdf[pdf["side"] == 1].sort_values("row")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": a["row"][:0], "b": a["row"][:0], "r": np.zeros(0)})
         x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+        inside = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         if kind == "dot":
             r = x @ y.T
         elif kind == "euclidean":
             r = 1 / (1 + np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)))
         else:
-            same = sum((x[:, k, None] == y[None, :, k]) & ((x[:, k, None] != 0) | (kind == "smc")) for k in range(x.shape[1]))
-            either = x.shape[1] if kind == "smc" else sum((x[:, k, None] != 0) | (y[None, :, k] != 0) for k in range(x.shape[1]))
-            r = same / np.maximum(either, 1)
+            r = token_similarity(x[:, None, :], y[None, :, :], kind)
         passed = {"positive": r >= threshold, "negative": r <= -threshold, "both": np.abs(r) >= threshold}[polarity] & ~np.isnan(r)
         names_a, names_b = a["row"].to_numpy(), b["row"].to_numpy()
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+        if inside:
             passed &= np.triu(np.ones_like(passed, dtype=bool), 1)
         if limit is not None and passed.size:
             score = np.where(passed, np.abs(r), -np.inf)
-            if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            if inside:
                 score = np.maximum(score, score.T)
+            # ties to the smaller other row: both sides are sorted
             first = lambda axis: np.argsort(np.argsort(-score, axis=axis, kind="stable"), axis=axis, kind="stable") < limit
             passed &= first(1) | first(0)
         p, q = np.nonzero(passed)
-        return pd.DataFrame({"a": names_a[p], "b": names_b[q], "r": r[p, q]})
+        one, two = names_a[p], names_b[q]
+        return pd.DataFrame({"a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "r": r[p, q]})
+
+    return left.unionByName(right).unionByName(comes).groupBy("cell", "i", "j").applyInPandas(meet, f"a {row_type}, b {row_type}, r double")
+
+
+def token_similarity(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """Shares of equal tokens along the last axis: of all columns, or for ``jaccard``, zero tokens apart, of those where either has one."""
+    if kind == "smc":
+        return (x == y).sum(axis=-1) / x.shape[-1]
+    either = ((x != 0) | (y != 0)).sum(axis=-1)
+    return ((x == y) & (x != 0)).sum(axis=-1) / np.maximum(either, 1)
+
+
+def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard") -> DataFrame:
+    """(a, b, r) with a < b of the rows of tokens (row, v) with a Jaccard or matching similarity of ``threshold`` (above 0) or more.
+
+    An inverted index over (column, token): pairs that pass share ceil(threshold * n) of the n tokens
+    of either, so they share one of its n - that + 1 rarest.  Only these are indexed, the rarest
+    first in one order for all rows.  ``jaccard`` indexes no zero tokens and rows without others
+    match nothing; rows of one length match only lengths within ``threshold`` of it.  The rows of a
+    token, however many, are dealt into blocks, block pairs meet in one task each, and a pair that
+    meets under several tokens is kept under the first.
+    """
+    names = rows.where("row is not null").select("row", "v")
+    cells = names.select("row", F.posexplode("v").alias("col", "token"))
+    if kind == "jaccard":
+        cells = cells.where("token <> 0")
+    counts = cells.groupBy(F.col("col").alias("c_"), F.col("token").alias("t_")).agg(F.count("*").alias("often"))
+    items = F.array_sort(F.collect_list(F.struct("often", "col", "token")))
+    ordered = cells.join(counts, (F.col("col") == F.col("c_")) & (F.col("token") == F.col("t_"))).groupBy(F.col("row").alias("r_")).agg(items.alias("items"))
+    # the least overlap, with a little less for rounding
+    overlap = F.greatest(F.ceil(F.size("items") * F.lit(threshold) - F.lit(1e-9)), F.lit(1))
+    prefixed = names.join(ordered, F.col("row") == F.col("r_")).withColumn("rare", F.expr("transform(items, x -> struct(x.often, x.col, x.token))"))
+    prefixed = prefixed.withColumn("rare", F.slice("rare", F.lit(1), (F.size("items") - overlap + 1).cast("int"))).select("row", "v", F.size("items").alias("n"), "rare")
+    posted = cut(prefixed.select("row", "v", "n", "rare", F.explode("rare").alias("item")))
+    # a hash of the row chooses the block, by the number of the token's rows in the index
+    sizes = posted.groupBy(F.col("item").alias("i_")).agg(F.count("*").alias("m")).where("m > 1").select("i_", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = posted.join(sizes, F.col("item") == F.col("i_")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    shown = [F.col("row"), F.col("v"), F.col("n"), F.col("rare"), F.col("item")]
+    left = dealt.select(*shown, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = dealt.select(*shown, F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    row_type = rows.schema["row"].dataType.simpleString()
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        none = pd.DataFrame({"a": a["row"][:0], "b": a["row"][:0], "r": np.zeros(0)})
+        if not len(a) or not len(b):
+            return none
+        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+        n, m = a["n"].to_numpy(), b["n"].to_numpy()
+        one, two = a["row"].to_numpy(), b["row"].to_numpy()
+        same = np.zeros((len(x), len(y)), dtype=np.int64)
+        either = np.zeros_like(same)
+        for k in range(x.shape[1]):
+            equal = x[:, k, None] == y[None, :, k]
+            if kind == "jaccard":
+                some = (x[:, k, None] != 0) | (y[None, :, k] != 0)
+                same += equal & some
+                either += some
+            else:
+                same += equal
+        r = same / (x.shape[1] if kind == "smc" else np.maximum(either, 1))
+        passed = (r >= threshold) & (np.minimum(n[:, None], m) >= threshold * np.maximum(n[:, None], m) - 1e-9)
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            passed &= one[:, None] < two[None, :]
+        p, q = np.nonzero(passed)
+        key = lambda item: (item["often"], item["col"], item["token"])
+        here = key(pdf["item"].iloc[0])
+        own, other = [[key(i) for i in rare] for rare in a["rare"]], [{key(i) for i in rare} for rare in b["rare"]]
+        first = np.array([next(i for i in own[s] if i in other[t]) == here for s, t in zip(p.tolist(), q.tolist())], dtype=bool)
+        p, q = p[first], q[first]
+        one, two = one[p], two[q]
+        return pd.DataFrame({"a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "r": r[p, q]})
 
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(meet, f"a {row_type}, b {row_type}, r double")
+    return left.unionByName(right).groupBy("item", "i", "j").applyInPandas(meet, f"a {row_type}, b {row_type}, r double")
 
 
 def top_k_edges(pairs: DataFrame, k: int = 50, signed: bool = False) -> DataFrame:
@@ -126,48 +287,9 @@ def column_distance(m: DataFrame) -> DataFrame:
     return met.groupBy(F.col("col").alias("a"), "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("distance"))
 
 
-def column_cluster_order(distances: DataFrame) -> list[tuple[int, float]]:
-    """Single-linkage leaf order of the columns with the height at which each joins the ones before.
-
-    The merges are the edges of the minimum spanning tree, found by Boruvka rounds: every component
-    takes its least edge out.  Within a merge the component with the lower column comes first.  The
-    tree has an edge less than there are columns, and only it reaches the driver.
-    """
-    edges = cut(distances.select("a", "b", "distance"))
-    label = cut(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")))
-    tree: set[tuple[float, int, int]] = set()
-    while True:
-        at = lambda name: label.select(F.col("v").alias(f"v{name}"), F.col("c").alias(f"c{name}"))
-        crossing = edges.join(at("a"), F.col("a") == F.col("va")).join(at("b"), F.col("b") == F.col("vb")).where("ca <> cb")
-        least = crossing.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("distance", "a", "b").alias("e")).groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
-        found = [(r["distance"], r["a"], r["b"]) for r in least.collect()]
-        if not found:
-            break
-        tree |= set(found)
-        parent = {r["v"]: r["c"] for r in label.collect()}  # a row for each column
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for _, a, b in found:
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-        label = cut(label.sparkSession.createDataFrame([(v, root(v)) for v in parent], "v int, c int"))
-    groups = {r["v"]: [(r["v"], 0.0)] for r in label.collect()}
-    of = {v: v for v in groups}
-    for distance, a, b in sorted(tree):
-        x, y = of[a], of[b]
-        if x == y:
-            continue
-        first, second = (x, y) if min(v for v, _ in groups[x]) < min(v for v, _ in groups[y]) else (y, x)
-        joined = groups[first] + [(groups[second][0][0], distance), *groups[second][1:]]
-        del groups[second]
-        groups[first] = joined
-        for v, _ in joined:
-            of[v] = first
-    return [leaf for group in sorted(groups.values(), key=lambda g: min(v for v, _ in g)) for leaf in group]
+def column_cluster_order(distances: DataFrame) -> DataFrame:
+    """(place, col, height): single-linkage leaf order of the columns with the height at which each joins the ones before."""
+    return cluster_order(distances).select(F.col("place").cast("int").alias("place"), F.col("v").alias("col"), "height")
 
 
 def rows_of_interest(m: DataFrame, selected: list[int], weight: float = 1.0, relative: bool = True, percentile: float = 90) -> DataFrame:

@@ -227,6 +227,19 @@ parts = lambda spark, d: C.token_rows(X.table(spark, d, "part"), "p_partkey", ["
 SAME = "((a.v[1] = b.v[1])::INT + (a.v[2] = b.v[2])::INT + (a.v[3] = b.v[3])::INT) / 3.0"
 query("c6_jaccard", TOKENS + PAIRS.format(r=SAME, t=0.6))(lambda spark, d: rounded(C.all_pairs(parts(spark, d), 0.6, kind="jaccard")))
 query("c7_smc", TOKENS + PAIRS.format(r=SAME, t=0.6))(lambda spark, d: rounded(C.all_pairs(parts(spark, d), 0.6, kind="smc")))
+#: Customers by the number of orders of each priority; none is the zero token.
+COUNTS = "WITH k AS (SELECT c_custkey AS row, p.col, count(o_orderkey) AS n FROM customer CROSS JOIN (VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 3), ('5-LOW', 4)) p(name, col) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = p.name GROUP BY 1, 2), v AS (SELECT row, list(n ORDER BY col) AS v FROM k GROUP BY row)\n"
+MATCHES = " + ".join(f"(a.v[{k}] = b.v[{k}] AND a.v[{k}] {{some}})::INT" for k in range(1, 6))
+EITHER = " + ".join(f"(a.v[{k}] > 0 OR b.v[{k}] > 0)::INT" for k in range(1, 6))
+
+
+def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = X.table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderpriority", list(X.PRIORITIES)).count()
+    return C.token_rows(X.table(spark, sf_dir, "customer").select("c_custkey").join(wide, F.col("c_custkey") == F.col("o_custkey"), "left"), "c_custkey", list(X.PRIORITIES))
+
+
+query("c6_jaccard_of_counts", COUNTS + PAIRS.format(r=f"(({MATCHES.format(some='> 0')}) / greatest({EITHER}, 1))", t=0.75))(lambda spark, d: rounded(C.all_pairs(order_counts(spark, d), 0.75, kind="jaccard")))
+query("c7_smc_of_counts", COUNTS + PAIRS.format(r=f"(({MATCHES.format(some='>= 0')}) / 5)", t=0.75))(lambda spark, d: rounded(C.all_pairs(order_counts(spark, d), 0.75, kind="smc")))
 query("c8_binary_view", SPEND + "SELECT row, string_agg(CASE WHEN coalesce(x, 0) <> 0 THEN '1' ELSE '0' END, '' ORDER BY col) AS bits FROM m GROUP BY row")(
     lambda spark, d: C.binary_rows(C.vectors(M.impute_constant(X.spend(spark, d), 0.0))).select("row", F.array_join(F.transform("v", lambda x: x.cast("string")), "").alias("bits"))
 )
@@ -242,7 +255,14 @@ query("c12_correlation_matrix", FULL_ROWS + ", z AS (SELECT row, list_transform(
 query("c13_column_distance", SPEND + "SELECT a.col AS a, b.col AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 2) AS distance FROM m a JOIN m b ON a.row = b.row AND a.col < b.col WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2")(
     lambda spark, d: C.column_distance(X.spend(spark, d)).select("a", "b", F.round("distance", 2).alias("distance"))
 )
-query("c14_column_cluster_order")(lambda spark, d: spark.createDataFrame([(k, c, h) for k, (c, h) in enumerate(C.column_cluster_order(C.column_distance(X.spend(spark, d))))], "place int, col int, height double"))
+#: Heights and parents by what each column reaches through the pairs up to each step; the walk is the order of the paths.
+LINKAGE = SPEND.replace("WITH m", "WITH RECURSIVE m") + """, d AS (SELECT a.col AS a, b.col AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS distance FROM m a JOIN m b ON a.row = b.row AND a.col < b.col WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER (ORDER BY distance, a, b) AS t FROM d), c AS (SELECT DISTINCT unnest([a, b]) AS v FROM d), b AS (SELECT a AS x, b AS y, t FROM e UNION ALL SELECT b, a, t FROM e),
+reach(t, v, u) AS (SELECT t, v, v FROM e, c UNION SELECT r.t, r.v, b.y FROM reach r JOIN b ON b.x = r.u AND b.t <= r.t),
+j AS (SELECT v, min(t) AS t FROM reach WHERE u < v GROUP BY v), p AS (SELECT j.v, j.t, min(u) AS parent FROM j JOIN reach USING (v, t) GROUP BY ALL),
+walk AS (SELECT v, [v::BIGINT] AS path FROM c WHERE v NOT IN (SELECT v FROM p) UNION ALL SELECT p.v, list_append(path, p.t) FROM walk JOIN p ON p.parent = walk.v)
+SELECT (row_number() OVER (ORDER BY path) - 1)::INT AS place, v AS col, round(coalesce(distance, 0.0), 2) AS height FROM walk LEFT JOIN p USING (v) LEFT JOIN e USING (t)"""
+query("c14_column_cluster_order", LINKAGE)(lambda spark, d: C.column_cluster_order(C.column_distance(X.spend(spark, d))).select("place", "col", F.round("height", 2).alias("height")))
 query("c15_rows_of_interest", FULL + ", s AS (SELECT row, sum(x) FILTER (col IN (0, 1)) - avg(x) FILTER (col NOT IN (0, 1)) AS score FROM f GROUP BY row) SELECT row, round(score, 2) AS score, row_number() OVER (ORDER BY score DESC, row) AS rank FROM s WHERE score >= (SELECT quantile_cont(score, 0.9) FROM s)")(
     lambda spark, d: C.rows_of_interest(M.impute_constant(X.spend(spark, d), 0.0), [0, 1]).select("row", F.round("score", 2).alias("score"), "rank")
 )
