@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ def louvain(graph: Graph, granularity: float = 0.5, weight: str | None = None, m
     In a round every node of one half (by a hash of node and round, so that neighbours seldom swap)
     moves to the neighbouring community of largest positive gain ``gamma * w(node, community) - K * k /
     W`` against staying; what a node of a coarser level holds inside says nothing of where it belongs.
-    When the objective rises no more, communities become nodes and it starts again.
+    When the objective rises no more, communities become nodes and it starts again.  A stop at
+    ``max_levels`` before that is reported by a warning.
     """
     gamma = resolution(granularity)
     links = cut(_links(graph, weight))
@@ -80,6 +82,9 @@ def louvain(graph: Graph, granularity: float = 0.5, weight: str | None = None, m
         weights = cut(weights.join(names, F.col("id") == F.col("i_")).groupBy(F.col("c_").alias("id")).agg(F.sum("k").alias("k")))
         lifted = links.join(names, F.col("node") == F.col("i_")).drop("i_").withColumnRenamed("c_", "a").join(names, F.col("other") == F.col("i_"))
         links = cut(lifted.groupBy(F.col("a").alias("node"), F.col("c_").alias("other")).agg(F.sum("w").alias("w")))
+    else:
+        if total:
+            warnings.warn(f"Louvain stopped at {max_levels} levels while the objective still rose", stacklevel=2)
     return cluster_sizes(member, "Cluster")
 
 
@@ -89,6 +94,7 @@ def mcl(graph: Graph, inflation: float = 2.0, prune: float = 1e-4, keep: int = 1
     Loops of weight 1 are added and columns normalised; a round squares the matrix, raises it to
     ``inflation``, normalises, and drops entries under ``prune`` and beyond the ``keep`` largest of a
     column.  It ends when no entry changes by ``tolerance``; linked rows and columns are a cluster.
+    A stop at ``max_rounds`` before that is reported by a warning.
     """
 
     def normalised(m: DataFrame) -> DataFrame:
@@ -107,6 +113,8 @@ def mcl(graph: Graph, inflation: float = 2.0, prune: float = 1e-4, keep: int = 1
         matrix = pruned
         if change is None or change < tolerance:
             break
+    else:
+        warnings.warn(f"Markov clustering stopped after {max_rounds} rounds, before entries changed by less than {tolerance}", stacklevel=2)
     labels = component_labels(matrix.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     assigned = graph.nodes.select("id").join(labels.toDF("v_", "c_"), F.col("id") == F.col("v_"), "left").select("id", F.coalesce("c_", "id").alias("community"))
     return cluster_sizes(assigned, "Cluster")

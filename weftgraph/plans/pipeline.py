@@ -28,21 +28,27 @@ def step(transform: Callable[..., Graph], repeating: bool = False, **parameters:
     return Step(transform, tuple(sorted(parameters.items(), key=lambda p: p[0])), repeating)
 
 
-def until_unchanged(graph: Graph, transform: Callable[[Graph], Graph], most: int = 1000) -> Graph:
-    """Repeat a transform that only removes or merges until it keeps the numbers of nodes and edges."""
+def until_unchanged(graph: Graph, transform: Callable[[Graph], Graph]) -> Graph:
+    """Repeat a transform that only removes or merges until it keeps the numbers of nodes and edges.
+
+    There is no other end: each round before the last makes the graph smaller.  One that makes it
+    larger is not such a transform and raises a ValueError.
+    """
     size = (graph.nodes.count(), graph.edges.count())
-    for _ in range(most):
+    while True:
         graph = transform(graph).cut()
         now = (graph.nodes.count(), graph.edges.count())
         if now == size:
-            break
+            return graph
+        if now[0] > size[0] or now[1] > size[1]:
+            raise ValueError("a repeated transform must not add nodes or edges")
         size = now
-    return graph
 
 
 @dataclass
 class Pipeline:
-    """Runs steps from the source graph.  A step that names an unknown attribute is reported and left out.
+    """Runs steps from the source graph.  A step that names an unknown attribute is reported and left out;
+    any other error ends the run.
 
     Results are kept by the steps that led to them, so a changed list starts from the first change.
     """
@@ -61,6 +67,8 @@ class Pipeline:
                 try:
                     self.kept[key] = until_unchanged(graph, one) if one.repeating else one(graph).cut()
                 except AnalysisException as problem:
+                    if not (problem.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                        raise
                     self.problems.append(f"{one.transform.__name__}: {problem.getMessage()}")
                     continue
             graph, done = self.kept[key], key
