@@ -95,11 +95,9 @@ def in_order(distances):
 
 
 def test_cluster_order(spark):
-    """Random distances, ties, a chain and a lone pair, side by side: groups that nothing joins."""
+    """Distances with ties, and a lone pair that nothing joins to the others."""
     draw = random.Random(6)
-    distances = [(a, b, draw.random()) for a, b in itertools.combinations(range(3, 8), 2)]
-    distances += [(a, b, float(draw.randint(1, 3))) for a, b in itertools.combinations(range(20, 25), 2)]
-    distances += [(k, k + 1, float(draw.choice([k, 99 - k]))) for k in range(40, 46)] + [(64, 62, 0.5), (64, 64, 0.1)]
+    distances = [(a, b, float(draw.randint(1, 3))) for a, b in itertools.combinations(range(3, 8), 2)] + [(64, 62, 0.5), (64, 64, 0.1)]
     found = linkage.cluster_order(spark.createDataFrame(distances, "a long, b long, distance double")).orderBy("place").collect()
     assert [r["place"] for r in found] == list(range(len(found)))
     assert [(r["v"], r["height"]) for r in found] == in_order(distances)
