@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["flagship_supply_degrees", "s4_read_delimited", "s8_read_graph_parquet", "k3_write_graph_parquet", "c5_bicor", "r1_pipeline", "s2_read_edge_list", "p6_detect_join_key", "m3_impute_row_interpolation", "m13_normalise_quantile", "c6_jaccard", "c10_knn_edges", "g5_first_edge_between", "t11_knn_edges", "b11_map_to_unit", "b13_import_attributes", "e1_enrichment", "q2_select"]
+CHECKED = ["flagship_supply_degrees", "s4_read_delimited", "s8_read_graph_parquet", "k3_write_graph_parquet", "c5_bicor", "r1_pipeline", "s2_read_edge_list", "p6_detect_join_key", "m3_impute_row_interpolation", "m13_normalise_quantile", "c6_jaccard", "c10_knn_edges", "g5_first_edge_between", "t11_knn_edges", "b11_map_to_unit", "b13_import_attributes", "e1_enrichment", "q2_select", "p1_mixed_column_types", "p2_row_duplicates", "p7_graph_size_curve_of_lines", "m17_tokenise_digits", "c17_replace_column_annotations", "t8_core_of_supply", "t9_tree_of_users", "a1_pagerank_of_users", "r3_reused_prefix", "s7_read_graphml", "r4_batch_job"]
 
 
 def rows(cursor_rows):

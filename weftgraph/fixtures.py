@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph, graph_from_tables
+from weftgraph.graph import Graph, dense_ids, graph_from_tables
 from weftgraph.operators.matrix import long_form
 
 #: The order priorities, which are the columns of the ``spend`` matrix.
@@ -45,6 +45,19 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     return graph_from_tables(region.unionByName(nation).unionByName(customer).unionByName(supplier), "key", edges, "from", "to")
 
 
+def users(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users, an edge for each pair that follow each other in a cell of hour and event type; ``cells`` says how often.
+
+    Events are numbered by cell and time, and each is joined to the next number, so a cell may hold any number of them.
+    """
+    events = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), "event_type", "ts", "event_id", key("U", "user_id").alias("user"))
+    placed = dense_ids(events, "event_type", "hour", "ts", "event_id", name="place")
+    before = placed.select((F.col("place") + 1).alias("next_"), F.col("event_type").alias("type_"), F.col("hour").alias("hour_"), F.col("user").alias("from"))
+    met = placed.join(before, (F.col("place") == F.col("next_")) & F.col("event_type").eqNullSafe(F.col("type_")) & F.col("hour").eqNullSafe(F.col("hour_"))).where(F.col("from") != F.col("user"))
+    pairs = met.groupBy(F.least("from", "user").alias("from"), F.greatest("from", "user").alias("to")).agg(F.count("*").alias("cells"))
+    return graph_from_tables(events.select(F.col("user").alias("key")).distinct(), "key", pairs, "from", "to")
+
+
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, x): what each customer spent by order priority; missing without an order."""
     wide = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderpriority", list(PRIORITIES)).agg(F.round(F.sum("o_totalprice"), 2))

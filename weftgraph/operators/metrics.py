@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
@@ -73,11 +73,66 @@ def _batches(graph: Graph, sources: DataFrame | None, batch: int):
         yield chosen.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
 
 
+def _searched_next(bounds: DataFrame, width: int, rim: bool) -> DataFrame:
+    """Of each component with a wanted node that is unsettled: nodes to search from.
+
+    Half are those that are known to be farthest out and weren't searched from, settled or not, since
+    the rim bounds the rest best, once there are bounds (``rim``); half are unsettled wanted ones with
+    the least lower bounds.
+    """
+    unsettled = bounds.where("lower < upper and wanted")
+    open_ = bounds.join(unsettled.select(F.col("component").alias("c_")).distinct(), F.col("component") == F.col("c_"), "left_semi")
+    place = lambda *order: F.row_number().over(Window.partitionBy("component").orderBy(*order))
+    # a limit of the rank is applied in every task before the exchange
+    far = open_.where("fresh").withColumn("p_", place(F.desc("lower"), F.desc("upper"), F.xxhash64("id"), "id")).where(F.col("p_") <= width)
+    near = unsettled.withColumn("p_", place("lower", "upper", F.desc("degree"), "id")).where(F.col("p_") <= width)
+    return cut((far.select("id").union(near.select("id")) if rim else near.select("id")).distinct())
+
+
 def eccentricity(graph: Graph, sources: DataFrame | None = None, batch: int = 2000) -> DataFrame:
-    """(id, eccentricity): the most hops to any node of the component; 0 for a node alone."""
+    """(id, eccentricity): the most hops to any node of the component; 0 for a node alone.
+
+    A node with one neighbour is one hop further than that neighbour, so only the others have to be
+    settled.  A search from s, d hops away, bounds a node's value: at least ``d`` and ``ecc(s) - d``,
+    at most ``ecc(s) + d``.  Rounds search from the nodes with the widest bounds of each component
+    until all bounds of what is asked for have met, the first from the node of most neighbours.  After
+    a few rounds each takes twice as many, up to ``batch`` a component, so that also a graph whose
+    bounds rule nothing out is done in few rounds.
+    ``sources`` restricts the nodes that are returned; repeated and unknown ids count once or not at all.
+    """
+    return eccentricity_with_searches(graph, sources, batch)[0]
+
+
+def eccentricity_with_searches(graph: Graph, sources: DataFrame | None = None, batch: int = 2000) -> tuple[DataFrame, int]:
+    """``eccentricity`` and the number of nodes that were searched from."""
     around = cut(graph.incidence().where("node <> other").select("node", "other").distinct())
-    parts = [cut(shortest_paths(around, part).groupBy(F.col("source").alias("id")).agg(F.max("dist").cast("long").alias("eccentricity"))) for part in _batches(graph, sources, batch)]
-    return reduce(DataFrame.unionByName, parts)
+    spread = around.groupBy(F.col("node").alias("n_")).agg(F.count("*").alias("degree"), F.min("other").alias("only_"))
+    nodes = connected_components(graph).nodes.select("id", "component").join(spread, F.col("id") == F.col("n_"), "left").select("id", "component", F.coalesce("degree", F.lit(0)).alias("degree"), "only_")
+    sizes = nodes.groupBy(F.col("component").alias("c_")).agg(F.count("*").alias("size"))
+    nodes = cut(nodes.join(sizes, F.col("component") == F.col("c_")).drop("c_"))
+    asked = nodes if sources is None else nodes.join(sources.select(F.col(sources.columns[0]).alias("w_")), F.col("id") == F.col("w_"), "left_semi")
+    hangs = (F.col("degree") == 1) & (F.col("size") > 2)
+    # a node that hangs from another is settled by it
+    wanted = asked.select(F.when(hangs, F.col("only_")).otherwise(F.col("id")).alias("w_")).distinct()
+    start = nodes.join(wanted, F.col("id") == F.col("w_"), "left")
+    bounds = cut(start.select("id", "component", "degree", F.col("w_").isNotNull().alias("wanted"), F.lit(True).alias("fresh"), F.when(F.col("size") <= 2, F.col("size") - 1).otherwise(F.lit(1)).cast("long").alias("lower"), (F.col("size") - 1).cast("long").alias("upper")))
+    rounds, searched = 0, 0
+    while True:
+        chosen = _searched_next(bounds, min(2 ** max(rounds - 3, 0), batch), rounds > 0)
+        number = chosen.count()
+        if not number:
+            break
+        searched += number
+        paths = shortest_paths(around, chosen)
+        reach = paths.groupBy(F.col("source").alias("s_")).agg(F.max("dist").cast("long").alias("ecc"))
+        seen = paths.join(reach, F.col("source") == F.col("s_")).groupBy(F.col("node").alias("n_")).agg(
+            F.max(F.greatest(F.col("dist").cast("long"), F.col("ecc") - F.col("dist"))).alias("low"), F.min(F.col("ecc") + F.col("dist")).alias("high"), F.min("dist").alias("nearest")
+        )
+        bounds = cut(bounds.join(seen, F.col("id") == F.col("n_"), "left").select("id", "component", "degree", "wanted", (F.col("fresh") & (F.coalesce("nearest", F.lit(1)) > 0)).alias("fresh"), F.greatest("lower", "low").alias("lower"), F.least("upper", "high").alias("upper")))
+        rounds += 1
+    known = bounds.select(F.col("id").alias("k_"), F.col("lower").alias("ecc"))
+    found = asked.join(known, F.when(hangs, F.col("only_")).otherwise(F.col("id")) == F.col("k_"))
+    return found.select("id", (F.col("ecc") + F.when(hangs, 1).otherwise(0)).cast("long").alias("eccentricity")), searched
 
 
 def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 2000) -> tuple[DataFrame, DataFrame]:

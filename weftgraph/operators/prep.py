@@ -24,6 +24,25 @@ def column_duplicates(df: DataFrame) -> DataFrame:
     return counted.groupBy("column").agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("duplicates"))
 
 
+def _cells(df: DataFrame, key: str):
+    """The present cells of a row as texts, without the key; an empty cell counts as missing."""
+    held = F.array(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in df.columns if c != key])
+    return F.filter(held, lambda x: x.isNotNull())
+
+
+def infer_row_types(df: DataFrame, key: str) -> DataFrame:
+    """(key, type): unknown, int, float or string, by the cells of each row; no row leaves its task."""
+    cells = _cells(df, key)
+    every = lambda kind: F.forall(cells, lambda x: x.try_cast(kind).isNotNull())
+    return df.select(key, F.when(F.size(cells) == 0, "unknown").when(every("bigint"), "int").when(every("double"), "float").otherwise("string").alias("type"))
+
+
+def row_duplicates(df: DataFrame, key: str) -> DataFrame:
+    """(key, duplicates): whether present cells of a row repeat; no row leaves its task."""
+    cells = _cells(df, key)
+    return df.select(key, (F.size(cells) > F.size(F.array_distinct(cells))).alias("duplicates"))
+
+
 def find_numeric_rect(df: DataFrame) -> list[str]:
     """The longest run of numeric columns at the right edge: the data, all before it being annotations."""
     types = {r["column"]: r["type"] for r in infer_column_types(df).collect()}
@@ -62,18 +81,22 @@ def detect_join_key(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def graph_size_curve_threshold(edges: DataFrame, steps: int = 100) -> DataFrame:
-    """(step, cut_off, edges, nodes) of an edge list (src, dst, weight) for evenly spaced cut-offs of |weight|, from the largest down."""
+    """(step, cut_off, edges, nodes, unique_edges) of an edge list (src, dst, weight) for evenly spaced cut-offs of |weight|, from the largest down.
+
+    ``unique_edges`` counts the pairs of ends, whichever way and however often an edge runs.
+    """
     weight = F.abs(F.col("weight").cast("double"))
     span = edges.agg(F.max(weight).alias("hi"), F.min(weight).alias("lo"))
     step = F.least(F.floor(F.coalesce(F.try_divide((F.col("hi") - F.col("w")) * steps, F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(0.0))), F.lit(steps - 1)).cast("int")
     marked = edges.select("src", "dst", weight.alias("w")).crossJoin(F.broadcast(span)).withColumn("step", step)  # one row
     ends = marked.select(F.explode(F.array("src", "dst")).alias("node"), "step").groupBy("node").agg(F.min("step").alias("step"))
+    pairs = marked.groupBy(F.least("src", "dst").alias("a_"), F.greatest("src", "dst").alias("b_")).agg(F.min("step").alias("step"))
     grid = span.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
     at = lambda df, name: df.groupBy(F.col("step").alias(f"{name}_s")).agg(F.count("*").alias(name))
-    counted = grid.join(at(marked, "e"), F.col("step") == F.col("e_s"), "left").join(at(ends, "n"), F.col("step") == F.col("n_s"), "left")
+    counted = grid.join(at(marked, "e"), F.col("step") == F.col("e_s"), "left").join(at(ends, "n"), F.col("step") == F.col("n_s"), "left").join(at(pairs, "u"), F.col("step") == F.col("u_s"), "left")
     order = Window.orderBy("step")  # a row for each step
     running = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(order).cast("long")
-    return counted.select("step", (F.col("hi") - (F.col("hi") - F.col("lo")) * (F.col("step") + 1) / steps).alias("cut_off"), running(F.col("e")).alias("edges"), running(F.col("n")).alias("nodes"))
+    return counted.select("step", (F.col("hi") - (F.col("hi") - F.col("lo")) * (F.col("step") + 1) / steps).alias("cut_off"), running(F.col("e")).alias("edges"), running(F.col("n")).alias("nodes"), running(F.col("u")).alias("unique_edges"))
 
 
 def graph_size_curve_knn(edges: DataFrame, most: int = 100) -> DataFrame:

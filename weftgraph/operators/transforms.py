@@ -90,13 +90,53 @@ def remove_leaves(graph: Graph, limit: int = 1) -> Graph:
     return graph
 
 
+def _rake(edges: DataFrame) -> DataFrame:
+    """(e, a, b) without the edges at a node that has no other; a loop counts twice."""
+    ends = edges.select("e", F.explode(F.array("a", "b")).alias("v"))
+    leaves = ends.groupBy("v").agg(F.count("*").alias("n"), F.min("e").alias("e")).where("n = 1").select(F.col("e").alias("e_"))
+    return cut(edges.join(leaves, F.col("e") == F.col("e_"), "left_anti"))
+
+
+def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((e, a, b) with one edge for each chain, (e, chain) of all edges that a chain swallowed).
+
+    A chain runs through nodes of degree 2; its edges are found by pointer jumping, and it is named by
+    the least of them.  A ring, whose nodes all have degree 2, has no ends and is left as it is.
+    """
+    ends = edges.select("e", F.explode(F.array("a", "b")).alias("v"))
+    through = cut(ends.groupBy("v").agg(F.count("*").alias("n"), F.min("e").alias("src"), F.max("e").alias("dst")).where("n = 2"))
+    chains = cut(component_labels(through.where("src < dst")).select(F.col("id").alias("c_"), F.col("component").alias("chain")))
+    tips = ends.join(chains, F.col("e") == F.col("c_")).join(through.select(F.col("v").alias("t_")), F.col("v") == F.col("t_"), "left_anti")
+    short = tips.groupBy(F.col("chain").alias("e")).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    inside = cut(chains.join(short.select(F.col("e").alias("s_")), F.col("chain") == F.col("s_"), "left_semi"))
+    rest = edges.join(inside, F.col("e") == F.col("c_"), "left_anti")
+    return cut(rest.unionByName(short)), inside.select(F.col("c_").alias("e"), "chain")
+
+
 def remove_branches(graph: Graph) -> Graph:
-    """Leaves go until none is left: the 2-core, a loop counting twice."""
+    """Leaves go until none is left: the 2-core, a loop counting twice.
+
+    Rake and compress: all leaves go at once, then each chain of nodes of degree 2 becomes one edge,
+    so the next rake takes a whole chain.  What hangs from the core loses half its nodes a round, so
+    rounds grow with the logarithm of the graph, however long its chains are.  A node of the core has
+    two of its edges, so the edges that are left say which nodes are.
+    """
+    left = cut(graph.edges.select(F.col("edge_id").alias("e"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    standing = left.select("e", F.col("e").alias("now_"))  # each edge and the one that stands for it
+    size = left.count()
     while True:
-        leaves = cut(degrees(graph).where("degree <= 1").select("id"))
-        if leaves.isEmpty():
-            return graph
-        graph = remove_nodes(graph, leaves).cut()
+        left = _rake(left)
+        raked = left.count()
+        if raked == size:
+            break
+        left, inside = _compress(left)
+        standing = standing.join(inside.select(F.col("e").alias("i_"), "chain"), F.col("now_") == F.col("i_"), "left").select("e", F.coalesce("chain", "now_").alias("now_"))
+        standing = cut(standing.join(left.select(F.col("e").alias("l_")), F.col("now_") == F.col("l_"), "left_semi"))
+        size = left.count()
+    core = cut(standing.join(left.select(F.col("e").alias("l_")), F.col("now_") == F.col("l_"), "left_semi").select(F.col("e").alias("core_")))
+    edges = cut(graph.edges.join(core, F.col("edge_id") == F.col("core_"), "left_semi"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("v_")).distinct()
+    return Graph(graph.nodes.join(ends, F.col("id") == F.col("v_"), "left_semi"), edges)
 
 
 def spanning_tree(graph: Graph) -> Graph:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,7 @@ from weftgraph.operators import select as S
 from weftgraph.operators import similarity as C
 from weftgraph.operators import structure as G
 from weftgraph.operators import transforms as T
+from weftgraph.plans import batch
 from weftgraph.plans.iterate import shared_path
 from weftgraph.plans.pipeline import Pipeline, step
 from weftgraph.sources import readers, writers
@@ -150,6 +152,14 @@ query("p1_infer_column_types", """SELECT unnest(['o_orderkey', 'o_custkey', 'o_o
 query("p2_column_duplicates", "SELECT 'c_custkey' AS \"column\", count(c_custkey) > count(DISTINCT c_custkey) AS duplicates FROM customer UNION ALL SELECT 'c_nationkey', count(c_nationkey) > count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) > count(DISTINCT c_acctbal) FROM customer")(
     lambda spark, d: R.column_duplicates(X.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
 )
+MIXED = "SELECT p_partkey, p_size::VARCHAR AS a, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN p_retailprice::VARCHAR ELSE '' END AS b, '' AS c, nullif(p_size % 5, 0)::VARCHAR AS d, p_retailprice::VARCHAR AS e FROM part"
+mixed = lambda spark, d: X.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("a"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_retailprice").cast("string")).otherwise("").alias("b"), F.lit("").alias("c"), F.nullif(F.col("p_size") % 5, F.lit(0)).cast("string").alias("d"), F.col("p_retailprice").cast("string").alias("e"))
+TYPED = "CASE WHEN {n} = 0 THEN 'unknown' WHEN {i} = {n} THEN 'int' WHEN {f} = {n} THEN 'float' ELSE 'string' END AS type"
+LONG_MIXED = f"WITH t AS ({MIXED}), v AS (" + " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS \"column\", nullif({c}, '') AS v FROM t" for c in "abcde") + ") "
+BY_VALUE = TYPED.format(n="count(v)", i="count(*) FILTER (regexp_full_match(v, '[0-9]+'))", f="count(*) FILTER (regexp_full_match(v, '[0-9]+([.][0-9]+)?'))")
+query("p1_mixed_column_types", LONG_MIXED + f'SELECT "column", {BY_VALUE} FROM v GROUP BY 1')(lambda spark, d: R.infer_column_types(mixed(spark, d).drop("p_partkey")))
+query("p1_infer_row_types", LONG_MIXED + f"SELECT p_partkey, {BY_VALUE} FROM v WHERE \"column\" IN ('a', 'b', 'c') GROUP BY 1")(lambda spark, d: R.infer_row_types(mixed(spark, d).select("p_partkey", "a", "b", "c"), "p_partkey"))
+query("p2_row_duplicates", LONG_MIXED + "SELECT p_partkey, count(v) > count(DISTINCT v) AS duplicates FROM v GROUP BY 1")(lambda spark, d: R.row_duplicates(mixed(spark, d), "p_partkey"))
 query("p3_find_numeric_rect", "SELECT 'p_size' AS name, 0 AS place, max(p_size)::DOUBLE AS high FROM part UNION ALL SELECT 'p_retailprice', 1, max(p_retailprice) FROM part")(
     lambda spark, d: (lambda part: (lambda cols: part.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols]))).groupBy("col.name", F.col("pos").alias("place")).agg(F.max("col.x").alias("high")))(R.find_numeric_rect(part)))(X.table(spark, d, "part"))
 )
@@ -165,6 +175,11 @@ b AS (SELECT *, least(floor((hi - w) * 100 / (hi - lo)), 99) AS step FROM w), nn
 SELECT g.s::INT AS step, (SELECT count(*) FROM b WHERE step <= g.s) AS edges, (SELECT count(*) FROM nn WHERE step <= g.s) AS nodes FROM range(100) g(s)""")(
     lambda spark, d: R.graph_size_curve_threshold(X.supply(spark, d).edges.withColumnRenamed("quantity", "weight")).select("step", "edges", "nodes")
 )
+query("p7_graph_size_curve_of_lines", """WITH w AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, l_quantity::DOUBLE AS w, max(l_quantity::DOUBLE) OVER () AS hi, min(l_quantity::DOUBLE) OVER () AS lo FROM lineitem),
+b AS (SELECT *, least(floor((hi - w) * 100 / (hi - lo)), 99) AS step FROM w), nn AS (SELECT node, min(step) AS step FROM (SELECT src AS node, step FROM b UNION ALL SELECT dst, step FROM b) GROUP BY node), u AS (SELECT src, dst, min(step) AS step FROM b GROUP BY 1, 2)
+SELECT g.s::INT AS step, (SELECT count(*) FROM b WHERE step <= g.s) AS edges, (SELECT count(*) FROM nn WHERE step <= g.s) AS nodes, (SELECT count(*) FROM u WHERE step <= g.s) AS unique_edges FROM range(100) g(s)""")(
+    lambda spark, d: R.graph_size_curve_threshold(X.table(spark, d, "lineitem").select(X.key("P", "l_partkey").alias("src"), X.key("S", "l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))).select("step", "edges", "nodes", "unique_edges")
+)
 query("p8_graph_size_curve_knn", SUPPLY + """, k AS (SELECT edge_id, min(r) AS k FROM (SELECT edge_id, row_number() OVER (PARTITION BY node ORDER BY quantity DESC, edge_id) AS r FROM inc) GROUP BY 1)
 SELECT k::INT AS k, CAST(sum(count(*)) OVER (ORDER BY k) AS BIGINT) AS edges FROM k WHERE k <= 100 GROUP BY k""")(
     lambda spark, d: R.graph_size_curve_knn(X.supply(spark, d).edges.withColumnRenamed("quantity", "weight"))
@@ -203,6 +218,11 @@ query("m17_tokenise_discrete", "SELECT c_mktsegment AS value, count(*) AS n, fal
     lambda spark, d: X.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("value"), M.tokenise_discrete(F.col("c_mktsegment")).alias("t")).count().select("value", F.col("count").alias("n"), (F.col("t") == 0).alias("zero"))
 )
 
+# tokens among which the zero token and missing ones occur
+query("m17_tokenise_digits", "SELECT nullif(p_size % 10, 3)::VARCHAR AS value, count(*) AS n, coalesce(min(nullif(p_size % 10, 3)) = 0, true) AS zero FROM part GROUP BY 1")(
+    lambda spark, d: X.table(spark, d, "part").select(F.nullif(F.col("p_size") % 10, F.lit(3)).cast("string").alias("value")).groupBy("value", M.tokenise_discrete(F.col("value")).alias("t")).count().select("value", F.col("count").alias("n"), (F.col("t") == 0).alias("zero"))
+)
+
 # similarity
 PAIRS = "SELECT a.row AS a, b.row AS b, round({r}, 6) AS r FROM v a JOIN v b ON a.row < b.row WHERE {r} >= {t}"
 VECTORS = "WITH v AS (SELECT vec_id AS row, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)\n"
@@ -273,6 +293,13 @@ SELECT "group", CASE WHEN k < 16 THEN value END AS value, CAST(sum(n) AS BIGINT)
 query("c17_import_column_annotations", "SELECT n_name AS name, n_nationkey AS place, n_regionkey AS region FROM nation")(
     lambda spark, d: C.import_column_annotations(X.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("place")), X.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
 )
+# an annotation that is replaced, one of another type under a taken name, and columns without a match
+query("c17_replace_column_annotations", "SELECT n_name AS name, CASE WHEN n_regionkey < 3 THEN n_nationkey + 100 END AS place, 'r' || n_regionkey AS region, CASE WHEN n_regionkey < 3 THEN n_regionkey END AS \"region(1)\" FROM nation")(
+    lambda spark, d: C.import_column_annotations(
+        X.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("place"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("region")),
+        X.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 100).cast("long").alias("place"), F.col("n_regionkey").cast("long").alias("region")),
+    )
+)
 query("c18_annotation_profile", "WITH f AS (SELECT p_size::VARCHAR AS value, min(p_partkey) AS first FROM part GROUP BY 1) SELECT value, row_number() OVER (ORDER BY first) - 1 AS index, true AS numeric, round((value::DOUBLE - (SELECT min(p_size) FROM part)) / (SELECT max(p_size) - min(p_size) FROM part), 6) AS unit FROM f")(
     lambda spark, d: C.annotation_profile(X.table(spark, d, "part"), "p_partkey", "p_size").select("value", "index", "numeric", F.round("unit", 6).alias("unit"))
 )
@@ -320,6 +347,40 @@ on_graph(X.geo, "t7_remove_leaves", lambda g: both(T.remove_leaves(g)), LEAFLESS
 on_graph(X.geo, "r1_pipeline", lambda g: both(Pipeline(g).run([step(T.separate_by_attribute, attribute="no such attribute"), step(T.remove_leaves, limit=1)])), LEAFLESS)
 on_graph(X.geo, "t8_remove_branches", lambda g: both(T.remove_branches(g)), GEO + "SELECT 'node' AS element, id FROM n WHERE false")
 on_graph(X.geo, "t9_spanning_tree", lambda g: T.spanning_tree(g).edges.select("edge_id"), GEO + "SELECT edge_id FROM e")
+# the pairs of 60 or more: some hang from the core, some are in it; src are parts and dst suppliers
+CORE = SUPPLY.replace("WITH n", "WITH RECURSIVE n", 1) + """, r AS (SELECT 0 AS k, edge_id, src, dst FROM e WHERE quantity >= 60
+  UNION ALL SELECT k + 1, edge_id, src, dst FROM (SELECT *, min(least(a, b)) OVER () AS fewest FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM r)) WHERE fewest = 1 AND a > 1 AND b > 1),
+ke AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM r WHERE k = (SELECT max(k) FROM r)) WHERE a > 1 AND b > 1), kn AS (SELECT src AS id FROM ke UNION SELECT dst FROM ke) """
+many = lambda g: T.keep_edges_where(g, P.at_least(F.col("quantity"), 60))
+on_graph(X.supply, "t8_core_of_supply", lambda g: both(T.remove_branches(many(g))), CORE + BOTH)
+on_graph(X.supply, "r2_repeated_step", lambda g: both(Pipeline(many(g).cut()).run([step(T.remove_leaves, repeating=True)])), CORE + BOTH)
+#: The users graph in SQL: nodes n, edges e, both ways around, components comp.
+USERS = """WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY name) - 1 AS id, name FROM (SELECT DISTINCT 'U' || user_id AS name FROM events WHERE user_id IS NOT NULL)),
+l AS (SELECT lag('U' || user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS f, 'U' || user_id AS t FROM events),
+e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, * FROM (SELECT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, count(*) AS cells FROM l JOIN n a ON a.name = f JOIN n b ON b.name = t WHERE f <> t GROUP BY 1, 2)),
+around AS (SELECT edge_id, src AS node, dst AS other FROM e UNION ALL SELECT edge_id, dst, src FROM e),
+reach AS (SELECT id AS a, id AS b FROM n UNION SELECT a, node FROM reach JOIN around ON other = b), comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1)
+"""
+on_graph(X.users, "t9_tree_of_users", lambda g: T.spanning_tree(g).edges.select("edge_id"), USERS + """, lev AS (SELECT DISTINCT component AS id, 0 AS l FROM comp UNION SELECT node, l + 1 FROM lev JOIN around ON other = lev.id WHERE l < (SELECT count(*) FROM n)),
+d AS (SELECT id, min(l) AS l FROM lev GROUP BY 1) SELECT min(edge_id) AS edge_id FROM around JOIN d a ON a.id = node JOIN d b ON b.id = other WHERE b.l = a.l - 1 GROUP BY node""")
+on_graph(X.users, "a1_pagerank_of_users", lambda g: K.pagerank(g).select("id", F.round("pagerank", 6).alias("pagerank")), USERS + """, z AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp),
+w AS (SELECT node, other, 1.0::DOUBLE / count(*) OVER (PARTITION BY other) AS share, 0.0::DOUBLE AS own FROM around UNION ALL SELECT id, id, 0.0, 1.0 FROM n),
+pr AS (SELECT 0 AS k, id, component, size, 1.0::DOUBLE / size AS rank, 9.0::DOUBLE AS change FROM z
+  UNION ALL SELECT k + 1, node, component, size, rank, sum(abs(rank - was)) OVER (PARTITION BY component) FROM (
+    SELECT k, node, component, size, 0.2::DOUBLE / size + 0.8::DOUBLE * sum(share * rank) AS rank, sum(own * rank) AS was FROM pr JOIN w ON other = id WHERE NOT (size = 1 AND k > 0) AND NOT (k > 0 AND k % 5 = 0 AND change <= 1e-6) GROUP BY k, node, component, size))
+SELECT id, round(rank / max(rank) OVER (PARTITION BY component), 6) AS pagerank FROM (SELECT * FROM pr QUALIFY k = max(k) OVER (PARTITION BY component))""")
+
+
+def reused_prefix(g: Graph) -> DataFrame:
+    """Two lists of steps with a first step in common: what the second gives, and whether that step's result was taken over."""
+    pipeline, first = Pipeline(many(g).cut()), step(T.remove_leaves, limit=1)
+    pipeline.run([first, step(T.remove_branches)])
+    held = pipeline.kept[(first,)]
+    out = pipeline.run([first, step(T.remove_leaves, repeating=True)])
+    return both(out).withColumn("reused", F.lit(pipeline.kept[(first,)] is held and len(pipeline.kept) == 2))
+
+
+on_graph(X.supply, "r3_reused_prefix", reused_prefix, CORE + "SELECT *, true AS reused FROM (" + BOTH + ")")
 on_graph(X.supply, "t10_edge_reduction", lambda g: T.edge_reduction(g).edges.select("edge_id"))
 NEAR = ", k AS (SELECT edge_id, side, r FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY quantity DESC, edge_id) AS r, count(*) OVER (PARTITION BY node) AS deg FROM inc) WHERE r <= {k}), s AS (SELECT edge_id, coalesce(max(r) FILTER (side = 'out'), 0) AS a, coalesce(max(r) FILTER (side = 'in'), 0) AS b FROM k GROUP BY 1) SELECT edge_id, a AS \"{p} Source Rank\", b AS \"{p} Target Rank\", CASE WHEN a > 0 AND b > 0 THEN (a + b) / 2 ELSE greatest(a, b) END::DOUBLE AS \"{p} Mean Rank\" FROM s"
 ranks = lambda g, p: g.edges.select("edge_id", *[f"{p} {n} Rank" for n in ("Source", "Target", "Mean")])
@@ -412,3 +473,64 @@ query("o2_sort_filter_table", "SELECT p_partkey, p_size FROM part WHERE p_size >
 on_graph(X.supply, "k1_pairwise_lines", lambda g: writers.pairwise_lines(g, "lines"), SUPPLY + "SELECT '\"' || a.name || '\" \"' || b.name || '\" ' || lines AS value FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst")
 on_graph(X.geo, "k2_json_elements", lambda g: writers.json_elements(g).select(F.get_json_object("value", "$.kind").alias("kind"), F.get_json_object("value", "$.id").cast("long").alias("id"), F.get_json_object("value", "$.metadata.label").alias("label")), GEO + "SELECT 'node' AS kind, id, label FROM n UNION ALL SELECT 'edge', edge_id, NULL FROM e")
 on_graph(X.geo, "k4_attribute_table", lambda g: writers.attribute_table(g.nodes, ["name", "balance", "kind"], "name"), GEO + "SELECT name, balance, kind FROM n")
+
+
+# files of the customers and their nations, in the formats that hold graphs
+def customer_documents(spark: SparkSession, sf_dir: str) -> str:
+    """JSON graphs, one file for each thousand customer keys with the nations that they name; the folder."""
+    customers = X.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 1000).alias("block"), X.key("C", "c_custkey").alias("c"), X.key("N", "c_nationkey").alias("n"), "c_mktsegment")
+    node = lambda name, segment: F.struct(F.col(name).alias("id"), F.col(name).alias("label"), F.struct(segment.alias("segment")).alias("metadata"))
+    nodes = F.concat(F.collect_list(node("c", F.col("c_mktsegment"))), F.collect_set(node("n", F.lit("")))).alias("nodes")
+    edges = F.collect_list(F.struct(F.col("c").alias("source"), F.col("n").alias("target"))).alias("edges")
+    documents = customers.groupBy("block").agg(F.to_json(F.struct(F.struct(nodes, edges).alias("graph"))).alias("value"))
+    path = shared_path(spark, "json-graphs")
+    documents.repartition("block").write.partitionBy("block").text(path)
+    return path
+
+
+def ends_of(g: Graph) -> DataFrame:
+    """(source, segment, target): the edges by the names of their ends."""
+    a, b = g.nodes.select(F.col("id").alias("a_"), F.col("name").alias("source"), "segment"), g.nodes.select(F.col("id").alias("b_"), F.col("name").alias("target"))
+    return g.edges.join(a, F.col("src") == F.col("a_")).join(b, F.col("dst") == F.col("b_")).select("source", "segment", "target")
+
+
+ENDS = "SELECT 'C' || c_custkey AS source, c_mktsegment AS segment, 'N' || c_nationkey AS target FROM customer"
+
+
+@query("s5_sniff_delimiter", "SELECT * FROM (VALUES ('nation', ','), ('region', chr(9)), ('part', ';')) t(name, delimiter)")
+def s5_sniff_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written with three delimiters below one folder."""
+    path = shared_path(spark, "delimited")
+    for name, delimiter in (("nation", ","), ("region", "\t"), ("part", ";")):
+        X.table(spark, sf_dir, name).coalesce(1).write.csv(f"{path}/kind={name}", sep=delimiter, header=True)
+    return readers.sniff_delimiter(spark, path).select(F.regexp_extract("file", "kind=([a-z]+)", 1).alias("name"), "delimiter")
+
+
+@query("s6_read_json_graph", ENDS)
+def s6_read_json_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ends_of(readers.read_json_graph(spark, customer_documents(spark, sf_dir)))
+
+
+@query("s7_read_graphml", ENDS)
+def s7_read_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Well-formed documents, one for each thousand customer keys and one for the nations, read as one graph."""
+    customers = X.table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 1000).alias("block"), "c_custkey", "c_nationkey", "c_mktsegment")
+    node = F.format_string('<node id="C%d"><data key="d0">%s</data></node>', F.col("c_custkey"), F.col("c_mktsegment"))
+    edge = F.format_string('<edge source="C%d" target="N%d"></edge>', F.col("c_custkey"), F.col("c_nationkey"))
+    lines = customers.select("block", F.explode(F.array(node, edge)).alias("line"))
+    lines = lines.union(customers.select(F.lit(-1).alias("block"), F.format_string('<node id="N%d"></node>', F.col("c_nationkey")).alias("line")).distinct())
+    head, foot = '<graphml><key id="d0" for="node" attr.name="segment" attr.type="string"></key><graph edgedefault="directed">', "</graph></graphml>"
+    documents = lines.groupBy("block").agg(F.concat_ws("\n", F.lit(head), F.concat_ws("\n", F.collect_list("line")), F.lit(foot)).alias("value"))
+    path = shared_path(spark, "graphml")
+    documents.repartition("block").write.partitionBy("block").text(path)
+    return ends_of(readers.read_graphml(spark, path))
+
+
+@query("r4_batch_job", "SELECT 'N' || c_nationkey AS name FROM customer GROUP BY 1 HAVING count(*) > 1")
+def r4_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations with two customers or more: a job over saved documents, by a file of parameters."""
+    documents, to = customer_documents(spark, sf_dir), shared_path(spark, "batch")
+    options = {"type": "json", "plugin.name": "remove_leaves", "plugin.parameters": {"limit": 1}, "destination": to}
+    spark.createDataFrame([(json.dumps(options),)], "value string").coalesce(1).write.text(f"{to}-parameters")
+    [saved] = batch.run(spark, f"{to}-parameters", [documents])
+    return readers.read_graph_parquet(spark, saved)[0].nodes.select("name")
