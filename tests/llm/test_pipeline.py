@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm import byte_bpe, edit_lines, queries, suffix_decontam, weak_quality
+from weftgraph.llm.common import marked
 
 from .test_jaccard_groups import groups_of, groups_slowly
 from .test_operators import AWKWARD
@@ -143,3 +144,12 @@ def test_stages_on_an_empty_table(spark, sf):
     docs = queries.table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_marked_rows_hold_all_wanted(spark):
+    df = spark.range(3000).withColumn("bits_of", F.lit("x"))
+    held = marked(df, spark.range(0, 3000, 7), "id")
+    assert held.columns == ["id", "bits_of", "may_"] and held.count() == 3000
+    may = {r["id"] for r in held.where("may_").collect()}
+    assert may >= set(range(0, 3000, 7)) and len(may) < 600
+    assert marked(df, spark.range(0), "id").where("may_").isEmpty()

@@ -61,6 +61,18 @@ def in_filter(wanted: DataFrame, key: str) -> Column:
     return F.getbit(held, (place % 64).cast("int")) == 1
 
 
+def marked(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``may_``, true wherever ``wanted`` has the ``key``: a bitmap of fixed size.
+
+    Its words, at most FILTER_BITS / 64 rows, are joined by broadcast, so no plan holds the bitmap.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    at = (place / 64).cast("int")
+    words = cut(wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits_")))
+    held = df.join(F.broadcast(words), at == F.col("word_"), "left")
+    return held.withColumn("may_", F.coalesce(F.getbit("bits_", (place % 64).cast("int")) == 1, F.lit(False))).drop("word_", "bits_")
+
+
 def set_apart(df: DataFrame, *results: str) -> DataFrame:
     """``df`` with the columns that are named like a result renamed: ``_in`` is added until no name is left twice."""
     taken = {name.lower() for name in (*df.columns, *results)}

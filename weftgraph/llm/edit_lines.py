@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FILTER_BITS, cut, in_filter, long_columns, set_apart, slices
+from .common import FILTER_BITS, cut, long_columns, marked, set_apart, slices
 
 #: Lines of a bucket beyond which it is cut finer, and the number of segments then.
 BUCKET = 64
@@ -171,7 +171,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fetch_lines(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, content) of the wanted (line, id, row, pos); only documents that can hold one are shuffled."""
     by_document = cut(wanted.groupBy(F.col("id").alias("id_"), F.col("row").alias("row_")).agg(F.collect_set(F.struct("line", "pos")).alias("wanted")))
-    near = rows.where(in_filter(by_document.select(F.col("row_").alias("row")), "row"))
+    near = marked(rows, by_document.select(F.col("row_").alias("row")), "row").where("may_").drop("may_")
     held = near.join(by_document.hint("shuffle_hash"), (F.col("id") == F.col("id_")) & (F.col("row") == F.col("row_"))).dropDuplicates(["id", "row"])
     return held.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.line", F.expr("lines[w.pos]").alias("content"))
 
@@ -325,9 +325,9 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = df.toDF(*[f"c{k}" for k in range(width)])
     own_id = F.coalesce(F.col(f"c{df.columns.index(id_col)}").cast("long"), F.lit(LAST))
     held = own.select("*", own_id.alias("own_id"), F.xxhash64(own_id, F.coalesce(F.col(f"c{at}"), F.lit(""))).alias("own_row"))
-    touched = in_filter(gone.select(F.col("row_").alias("own_row")), "own_row")
-    shuffled = held.where(touched).join(gone.hint("shuffle_hash"), (F.col("own_id") == F.col("id_")) & (F.col("own_row") == F.col("row_")), "left").select(*own.columns, "gone_")
-    rest = held.where(~touched).select(*own.columns, F.lit(None).cast(gone.schema["gone_"].dataType).alias("gone_"))
+    held = marked(held, gone.select(F.col("row_").alias("own_row")), "own_row")
+    shuffled = held.where("may_").join(gone.hint("shuffle_hash"), (F.col("own_id") == F.col("id_")) & (F.col("own_row") == F.col("row_")), "left").select(*own.columns, "gone_")
+    rest = held.where("not may_").select(*own.columns, F.lit(None).cast(gone.schema["gone_"].dataType).alias("gone_"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, at, SLICE_BYTES):
