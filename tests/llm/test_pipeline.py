@@ -146,6 +146,17 @@ def test_stages_on_an_empty_table(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_features_left_out_before_the_fit_change_no_weight(spark):
+    draw = np.random.default_rng(5)
+    rows = [np.unique(np.minimum(draw.zipf(1.3, 40), weak_quality.BUCKETS - 1)).astype(np.int32) for _ in range(300)]
+    weak = np.where([7 in r for r in rows], 0.9, 0.2)
+    pull = weak_quality.row_weights(weak) * (0.5 - weak)
+    df = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "id long, features binary").repartition(3)
+    kept = dict(weak_quality._useful_features(df, {k: [float(p), 0.0] for k, p in enumerate(pull)}))
+    assert sum(map(len, kept.values())) < sum(map(len, rows))
+    assert weak_quality.fit_sparse([kept[k] for k in range(len(rows))], weak) == weak_quality.fit_sparse(rows, weak)
+
+
 def test_marked_rows_hold_all_wanted(spark):
     df = spark.range(3000).withColumn("bits_of", F.lit("x"))
     held = marked(df, spark.range(0, 3000, 7), "id")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, set_apart, slices, utf8
+from .common import cut, long_columns, set_apart, slices, utf8
 
 #: Rows, each with its weak label, that the scorers are fitted on at most.
 MAX_FITTED = 8000
@@ -46,6 +46,8 @@ VOCABULARY = 32 << 20
 YES, NO, ABSTAIN = 1, 0, 2
 #: Posterior of a row whose given label says yes.
 TRUST = 0.98
+#: A feature takes part in a scorer if as many rows of the sample hold it and its slope at zero is as large.
+LEAST_ROWS, LEAST_SLOPE = 5, 4e-3
 #: Frequent function words of English, German, French and Spanish, and English insults.
 FUNCTION_WORDS = frozenset(
     "the of and to in is that for it with as was on be by at this are from or an der die das und ein eine den von zu mit sich des auf für ist im nicht dem als le la les et des un une du que est pour en dans qui sur pas par au plus el los las y del se por con una para".split()
@@ -265,7 +267,13 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], alarm:
     return rates, {p: float(x) for (p, _), x in zip(patterns, posterior)}
 
 
-def fit_sparse(rows: list[np.ndarray], wanted: np.ndarray, rounds: int = 300, penalty: float = 1e-4, least_rows: int = 5, least_slope: float = 4e-3) -> dict[int, float]:
+def row_weights(wanted: np.ndarray) -> np.ndarray:
+    """Weights of rows so that either side counts half."""
+    positive = min(max(wanted.mean(), 1e-3), 1 - 1e-3) if len(wanted) else 0.5
+    return (wanted / positive + (1 - wanted) / (1 - positive)) / (2 * max(len(wanted), 1))
+
+
+def fit_sparse(rows: list[np.ndarray], wanted: np.ndarray, rounds: int = 300, penalty: float = 1e-4, least_rows: int = LEAST_ROWS, least_slope: float = LEAST_SLOPE) -> dict[int, float]:
     """Weights by bucket (-1: the constant) of a logistic model with an L1 penalty, by accelerated proximal steps.
 
     Only features of ``least_rows`` rows or more with a slope of ``least_slope`` at zero take part;
@@ -274,8 +282,7 @@ def fit_sparse(rows: list[np.ndarray], wanted: np.ndarray, rounds: int = 300, pe
     if not len(rows):
         return {-1: 0.0}
     owner, index = np.repeat(np.arange(len(rows), dtype=np.int32), list(map(len, rows))), np.concatenate(rows).astype(np.int32)
-    positive = min(max(wanted.mean(), 1e-3), 1 - 1e-3)
-    weight = (wanted / positive + (1 - wanted) / (1 - positive)) / (2 * len(rows))
+    weight = row_weights(wanted)
     slope = np.bincount(index, weights=(weight * (0.5 - wanted))[owner], minlength=BUCKETS)
     kept = (np.bincount(index, minlength=BUCKETS) >= least_rows) & (np.abs(slope) > least_slope)
     names = np.append(np.flatnonzero(kept), -1)
@@ -371,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     Votes and pattern counts cover all documents; the lexicon is learned from at most
     ``max_counted`` labelled rows and the scorers from at most ``max_fitted``.  The driver gets the pattern counts (at most 3 to the number of
-    labellers), the lexicon, and the hashed features of the sample.
+    labellers), the lexicon, the votes of the sample, and of its hashed features those that can take part.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     given = cut(_labelled(docs, labels, id_col))
@@ -406,10 +413,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     chosen = cut(turns.orderBy("turn", F.xxhash64("chosen_id"), "chosen_id").limit(max_fitted).drop("turn"))
     sample = texts.join(F.broadcast(chosen.select("chosen_id")), F.col("id") == F.col("chosen_id")).dropDuplicates(["id"]).select("id", "text")
     hashed = sample.mapInArrow(lambda b: votes(b, True), f"id {id_type}, good long, bad long, features binary")
-    sampled = hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).orderBy("id").toArrow()
-    rows = sampled.drop_columns(["features"]).to_pylist()
-    features = [np.frombuffer(held.as_buffer(), dtype=np.int32) for held in sampled.column("features")]
+    sampled = cut(hashed.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).drop("chosen_id"))
+    rows = sampled.drop("features").orderBy("id").toArrow().to_pylist()
     model: dict = {"lexicon": lexicon, "max_fitted": max_fitted}
+    sides: dict = {}
     for name, alarm in (("quality", NO), ("toxic", YES)):
         patterns: Counter = Counter()
         for r in counted:
@@ -419,10 +426,55 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         fitted = np.arange(len(rows))
         if name == "toxic":  # the word lists, all that other rows are judged by, are features of the scorer already
             fitted = np.array([k for k, r in enumerate(rows) if r["toxic"] is not None] or fitted, dtype=np.int64)
-        model[name] = {"rates": rates, "posterior": posterior, "weights": fit_sparse([features[k] for k in fitted], weak[fitted])}
+        model[name] = {"rates": rates, "posterior": posterior}
+        sides[name] = weak, fitted
+    # what the scorers can use is found where the features are; only that comes to the driver
+    pulls = {r["id"]: [0.0, 0.0] for r in rows}
+    for side, (weak, fitted) in enumerate(sides.values()):
+        for k, pull in zip(fitted.tolist(), (row_weights(weak[fitted]) * (0.5 - weak[fitted])).tolist()):
+            pulls[rows[k]["id"]][side] = pull
+    features = dict(_useful_features(sampled.select("id", "features"), pulls))
+    for name, (weak, fitted) in sides.items():
+        model[name]["weights"] = fit_sparse([features[rows[k]["id"]] for k in fitted], weak[fitted])
+    del features
+    pa.default_memory_pool().release_unused()
     return model
 
 
+def _useful_features(sampled: DataFrame, pulls: dict) -> Iterator[tuple[object, np.ndarray]]:
+    """Of each row of (id, features) its id and those features that can take part in a scorer.
+
+    ``pulls`` is what a row adds to the slopes of its features, for each scorer.  Slopes are summed
+    where the features are; the bound is a little looser than that of ``fit_sparse``, which decides.
+    """
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, slope = np.zeros(BUCKETS, dtype=np.int64), np.zeros((2, BUCKETS))
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = np.frombuffer(raw.as_buffer(), dtype=np.int32)  # distinct
+                n[held] += 1
+                for side, pull in zip(slope, pulls[key]):
+                    side[held] += pull
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found]), *(pa.array(side[found]) for side in slope)], names=["feature", "n", "a", "b"])
+
+    summed = sampled.mapInArrow(slopes, "feature long, n long, a double, b double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    used = summed.where((F.col("n") >= LEAST_ROWS) & (F.greatest(F.abs("a"), F.abs("b")) > 0.999 * LEAST_SLOPE)).select("feature")
+    kept = np.sort(long_columns(used)[0]).astype(np.int32)  # fewer than BUCKETS
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(BUCKETS, dtype=bool)
+        mask[kept] = True
+        for batch in batches:
+            held = (np.frombuffer(raw.as_buffer(), dtype=np.int32) for raw in batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[mask[h]].tobytes() for h in held], pa.binary())], names=batch.schema.names)
+
+    found = sampled.mapInArrow(narrowed, sampled.schema).toArrow()
+    for key, raw in zip(found.column(0).to_pylist(), found.column(1)):
+        yield key, np.frombuffer(raw.as_buffer(), dtype=np.int32)
+
+
 def score(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``df`` with ``p_quality`` and ``p_toxic`` of the two scorers.
 
