@@ -105,3 +105,38 @@ def test_cluster_order(spark):
 
 def test_cluster_order_of_nothing(spark):
     assert linkage.cluster_order(spark.createDataFrame([], "a long, b long, distance double")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["dot", "smc", "jaccard"])
+def test_equal_rows_are_compared_once(spark, kind, monkeypatch):
+    monkeypatch.setattr(similarity, "MEMBERS", 16)
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    values = [[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]] if kind == "dot" else [[4, 5, 6], [4, 5, 7], [1, 2, 3]]
+    close = {(0, 0), (1, 1), (2, 2)} | (set() if kind == "dot" else {(0, 1)})
+    of = [0] * 70 + [1] * 3 + [2] * 20
+    df = spark.createDataFrame([(k, values[c]) for k, c in enumerate(of)], VECTORS if kind == "dot" else "row long, v array<long>").repartition(3)
+    held = similarity.classes(df).collect()
+    assert len(held) == 5 + 1 + 2 and sorted(m for r in held for m in r["members"]) == list(range(93))
+    assert all(r["row"] == min(r["members"]) and len(r["members"]) <= 16 for r in held)
+    assert pairs_of(similarity.all_pairs(df, 0.5, kind=kind, digits=6)) == {(a, b) for a, b in itertools.combinations(range(93), 2) if (of[a], of[b]) in close}
+
+
+def test_copies_of_a_row_stay_bounded(spark):
+    """Blocks grow with the input, so a row goes to no more block pairs than BLOCKS, about."""
+    for n in (2000, 50000):
+        rows = spark.range(n).select("id", similarity.F.array("id").alias("v"), similarity.F.array("id").alias("members"))
+        assert -(-n // similarity._block_rows(rows)) <= similarity.BLOCKS
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_nearest_of_equal_rows(spark, limit, monkeypatch):
+    monkeypatch.setattr(similarity, "MEMBERS", 4)
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    v = clustered(8, 60, 3, 5)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], VECTORS).repartition(3)
+    r = np.round(np.array([[float(np.dot(x, y)) for y in v] for x in v]), 9)
+    wanted = set()
+    for k in range(60):
+        for other in sorted((o for o in range(60) if o != k and r[k, o] >= 0.2), key=lambda o: (-abs(r[k, o]), o))[:limit]:
+            wanted.add((min(k, other), max(k, other)))
+    assert pairs_of(similarity.top_k_edges(similarity.all_pairs(df, 0.2, limit=limit, digits=9), limit)) == wanted

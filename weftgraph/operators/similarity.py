@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,13 @@ from weftgraph.operators.linkage import cluster_order
 from weftgraph.operators.matrix import median_and_mad, tokenise_discrete
 from weftgraph.plans.iterate import cut
 
-#: Rows of one side of a block pair.
+#: Rows of one side of a block pair at least, blocks into which all rows are cut about, and bytes of numbers of one side at most.
 BLOCK = 512
+BLOCKS = 24
+SIDE = 64 << 20
+#: Equal rows that go as one at most; scores held at once, and members passed on at once.
+MEMBERS = 256
+SCORES = 1 << 20
 #: Pivots of a metric join at most, and rows of a cell, about.
 PIVOTS = 512
 CELL = 128
@@ -71,8 +77,9 @@ def metric_cells(rows: DataFrame, bound: float | None, polarity: str = "positive
     and if it is within ``bound`` of the plane between that pivot and its own.  For negative pairs it is
     the opposite row that visits.  Without a bound all rows are one cell.
     """
-    rows = rows.where("row is not null").select("row", "v")
-    one_cell = rows.select("row", "v", F.lit(0).alias("cell"), F.array().cast("array<int>").alias("visits"))
+    held = [c for c in rows.columns if c in ("row", "v", "members")]
+    rows = rows.where("row is not null").select(*held)
+    one_cell = rows.select(*held, F.lit(0).alias("cell"), F.array().cast("array<int>").alias("visits"))
     if bound is None:
         return one_cell
     wanted = pivots or max(1, min(PIVOTS, rows.count() // CELL))
@@ -80,7 +87,7 @@ def metric_cells(rows: DataFrame, bound: float | None, polarity: str = "positive
     if not drawn:
         return one_cell
     at = np.unique(np.array([r["v"] for r in drawn], dtype=float), axis=0)
-    row_type = rows.schema["row"].dataType.simpleString()
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in held)
     far = lambda x: np.sqrt(np.maximum((x**2).sum(1)[:, None] + (at**2).sum(1) - 2 * x @ at.T, 0))
 
     def home(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +97,7 @@ def metric_cells(rows: DataFrame, bound: float | None, polarity: str = "positive
                 cell = d.argmin(axis=1)
                 yield part.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
 
-    homed = cut(rows.mapInPandas(home, f"row {row_type}, v array<double>, cell int, d double"))
+    homed = cut(rows.mapInPandas(home, f"{fields}, cell int, d double"))
     # a row for each pivot
     rings = {r["cell"]: (r["low"], r["high"]) for r in homed.groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high")).collect()}
     low = np.array([rings.get(c, (np.inf, -np.inf))[0] for c in range(len(at))])
@@ -108,9 +115,9 @@ def metric_cells(rows: DataFrame, bound: float | None, polarity: str = "positive
                 plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * np.maximum(apart[own], 1e-9))
                 near |= (d <= high + slack) & (d >= low - slack) & ((plane <= slack) | (np.arange(len(at)) == own[:, None]))
             near &= np.arange(len(at)) > cell[:, None]
-            yield part.assign(visits=[np.flatnonzero(n).astype(np.int32) for n in near])[["row", "v", "cell", "visits"]]
+            yield part.assign(visits=[np.flatnonzero(n).astype(np.int32) for n in near])[[*held, "cell", "visits"]]
 
-    return homed.mapInPandas(visit, f"row {row_type}, v array<double>, cell int, visits array<int>")
+    return homed.mapInPandas(visit, f"{fields}, cell int, visits array<int>")
 
 
 def pairs_compared(cells: DataFrame) -> DataFrame:
@@ -121,62 +128,132 @@ def pairs_compared(cells: DataFrame) -> DataFrame:
     return met.select(F.coalesce("compared", F.lit(0)).alias("compared"), F.coalesce(F.expr("rows * (rows - 1) div 2"), F.lit(0)).alias("all"))
 
 
-def all_pairs(rows: DataFrame, threshold: float, polarity: str = "positive", kind: str = "dot", limit: int | None = None) -> DataFrame:
-    """(a, b, r) with a < b of all pairs of rows (row, v) that pass: r >= t, r <= -t, or |r| >= t.
+def classes(rows: DataFrame) -> DataFrame:
+    """(row, v, members): the rows of equal ``v`` as one, named by the least; more than MEMBERS of them are several."""
+    placed = segmented_ranks(rows.where("row is not null").select("row", "v"), "v", "row", place="place", size="held")
+    part = ((F.col("place") - 1) / MEMBERS).cast("long")
+    return cut(placed.groupBy("v", part.alias("part")).agg(F.array_sort(F.collect_list("row")).alias("members")).select(F.col("members")[0].alias("row"), "v", "members"))
+
+
+def _block_rows(classes_: DataFrame) -> int:
+    """Classes of a block: a share of all, so that copies of one don't grow with the input; BLOCK rows at least, and what a task holds at most."""
+    seen = classes_.agg(F.count("*").alias("n"), F.sum(F.size("members")).alias("rows"), F.max(F.size("v")).alias("width")).first()
+    least = BLOCK * seen["n"] // max(1, seen["rows"] or 1)
+    return max(1, least, min(-(-seen["n"] // BLOCKS), SIDE // (8 * max(1, seen["width"] or 1))))
+
+
+def _dealt(sides: DataFrame, *keys: str) -> DataFrame:
+    """Block pairs over all shuffle partitions: few bytes make many pairs, so partitions are not to be joined by their size."""
+    return sides.repartition(int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, bool]:
+    """The two sides of a block pair, each sorted by row; a block that meets itself comes once."""
+    table = pa.Table.from_batches(list(batches)).sort_by("row")
+    side = table["side"].to_numpy()
+    inside = table["i"][0].as_py() == table["j"][0].as_py()
+    return table.filter(pa.array(side == 0)), table.filter(pa.array(side == (0 if inside else 1))), inside
+
+
+def _passed_on(a: pa.Table, b: pa.Table, p: np.ndarray, q: np.ndarray, r: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(x, y, r, same): the members of both sides of the pairs, in batches of bounded size."""
+    x, y = (side["members"].combine_chunks().cast(pa.list_(side.schema.field("members").type.value_type)) for side in (a, b))
+    weight = np.cumsum(x.value_lengths().to_numpy()[p].astype(np.int64) + y.value_lengths().to_numpy()[q])
+    starts = np.r_[0, np.searchsorted(weight, np.arange(SCORES, weight[-1], SCORES), side="right"), len(p)] if len(p) else [0]
+    for start, end in zip(starts[:-1], starts[1:]):
+        if start < end:
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(p[start:end])), y.take(pa.array(q[start:end])), pa.array(r[start:end]), pa.array(same[start:end])], ["x", "y", "r", "same"])
+
+
+def _expanded(met: DataFrame, digits: int | None) -> DataFrame:
+    """(a, b, r) with a < b: each member of one side with each of the other; no exchange."""
+    # rounded before there are rows for all members
+    once = met.select("x", "y", (F.col("r") if digits is None else F.round("r", digits)).alias("r"), "same")
+    pairs = once.select(F.explode("x").alias("p"), "y", "r", "same").select("p", F.explode("y").alias("q"), "r", "same")
+    return pairs.where("not same or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "r")
+
+
+def all_pairs(rows: DataFrame, threshold: float, polarity: str = "positive", kind: str = "dot", limit: int | None = None, digits: int | None = None) -> DataFrame:
+    """(a, b, r) with a < b of all pairs of rows (row, v) that pass: r >= t, r <= -t, or |r| >= t; r rounded to ``digits``.
 
     ``kind``: ``dot`` (of rows of length 1, if the threshold is above -1), ``euclidean`` (1 / (1 + distance)),
     or ``smc`` and ``jaccard`` over tokens, which go to ``token_pairs`` if the threshold is above 0.
+    Equal rows are compared as one (``classes``), and their pairs are written out at the end.
     A threshold is a distance that pairs may have at most, so rows are dealt into the cells of pivots
     and visit the cells that they can reach (``metric_cells``); a pair meets in the later of its two
-    cells.  A cell's rows and visitors are dealt into blocks of about BLOCK; each pair of blocks meets
-    in one task, which multiplies them as matrices and lets only survivors out.  With ``limit``, a
-    task passes on just the pairs in either row's first ``limit`` of that block pair, which keeps
-    every global first.
+    cells.  Where pivots rule out less than half of the pairs, all rows are one cell.  A cell's rows and
+    visitors are dealt into blocks, about BLOCKS of all rows; each pair of blocks meets in one task, which multiplies slices of them as matrices and lets only survivors out.
+    With ``limit``, a task passes on just the pairs in either row's first ``limit`` of that block pair
+    and those that tie with them, which keeps every global first.
     """
     discrete = kind in ("smc", "jaccard")
     if discrete and threshold > 0:
-        return token_pairs(rows, threshold, kind)
-    cells = metric_cells(rows, None if discrete else reach(threshold, polarity, kind), polarity)
-    placed = cut(segmented_ranks(cells, "cell", "row", place="place", size="held").withColumn("block", ((F.col("place") - 1) / BLOCK).cast("int")))
-    visited = placed.select(F.explode("visits").alias("to")).groupBy("to").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guests"))
-    blocks = placed.groupBy("cell").agg((F.max("block") + 1).alias("blocks")).join(visited, F.col("cell") == F.col("to"), "left").select(F.col("cell").alias("cell_"), "blocks", F.coalesce("guests", F.lit(0)).alias("guests"))
+        return token_pairs(rows, threshold, kind, digits)
+    cells = cut(metric_cells(classes(rows), None if discrete else reach(threshold, polarity, kind), polarity))
+    met = pairs_compared(cells).first()
+    if 2 * met["compared"] > met["all"]:  # a row would be copied into most cells for nothing
+        cells = cells.withColumn("cell", F.lit(0)).withColumn("visits", F.array().cast("array<int>"))
+    size = _block_rows(cells)
+    visited = cells.select(F.explode("visits").alias("to")).groupBy("to").agg(F.ceil(F.count("*") / size).cast("int").alias("guests"))
+    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")).join(visited, F.col("cell") == F.col("to"), "left").select(F.col("cell").alias("cell_"), "blocks", F.coalesce("guests", F.lit(0)).alias("guests"))
     blocks = F.broadcast(cut(blocks))  # a row for each pivot
-    home = placed.join(blocks, F.col("cell") == F.col("cell_"))
-    guest = placed.select("row", "v", F.explode("visits").alias("cell")).join(blocks, F.col("cell") == F.col("cell_"))
-    # the block pair (i, j) of a cell, i <= j, gets the rows of both, and (i, -j) those of block i and of the visitors' block j
-    left = home.select("row", "v", "cell", F.col("block").alias("i"), F.explode(F.concat(F.sequence("block", F.col("blocks") - 1), F.when(F.col("guests") > 0, F.sequence(-F.col("guests"), F.lit(-1))).otherwise(F.array().cast("array<int>")))).alias("j"), F.lit(0).alias("side"))
-    right = home.select("row", "v", "cell", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    comes = guest.select("row", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (-1 - F.pmod(F.xxhash64("row"), F.col("guests"))).cast("int").alias("j"), F.lit(1).alias("side"))
+    home = cells.join(blocks, F.col("cell") == F.col("cell_")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    guest = cells.select("row", "v", "members", F.explode("visits").alias("cell")).join(blocks, F.col("cell") == F.col("cell_"))
+    # the block pair (i, j) of a cell, i < j, gets the rows of both, (i, i) those of block i, and (i, -j) those of block i and of the visitors' block j
+    shown = ["row", "v", "members", "cell"]
+    left = home.select(*shown, F.col("block").alias("i"), F.explode(F.concat(F.sequence("block", F.col("blocks") - 1), F.when(F.col("guests") > 0, F.sequence(-F.col("guests"), F.lit(-1))).otherwise(F.array().cast("array<int>")))).alias("j"), F.lit(0).alias("side"))
+    right = home.where("block > 0").select(*shown, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    comes = guest.select(*shown, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), (-1 - F.pmod(F.xxhash64("row"), F.col("guests"))).cast("int").alias("j"), F.lit(1).alias("side"))
     row_type = rows.schema["row"].dataType.simpleString()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0].sort_values("row"), pdf[pdf["side"] == 1].sort_values("row")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, inside = _sides(batches)
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": a["row"][:0], "b": a["row"][:0], "r": np.zeros(0)})
-        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-        inside = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        if kind == "dot":
-            r = x @ y.T
-        elif kind == "euclidean":
-            r = 1 / (1 + np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0)))
-        else:
-            r = token_similarity(x[:, None, :], y[None, :, :], kind)
-        passed = {"positive": r >= threshold, "negative": r <= -threshold, "both": np.abs(r) >= threshold}[polarity] & ~np.isnan(r)
-        names_a, names_b = a["row"].to_numpy(), b["row"].to_numpy()
-        if inside:
-            passed &= np.triu(np.ones_like(passed, dtype=bool), 1)
-        if limit is not None and passed.size:
-            score = np.where(passed, np.abs(r), -np.inf)
+            return
+        x, y = _matrix(a["v"]), _matrix(b["v"])
+        several = a["members"].combine_chunks().value_lengths().to_numpy() > 1
+        squares = (y**2).sum(1)
+        step = max(1, SCORES // len(y))
+
+        def slices() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for start in range(0, len(x), step):
+                part = x[start : start + step]
+                if kind == "dot":
+                    r = part @ y.T
+                elif kind == "euclidean":
+                    r = 1 / (1 + np.sqrt(np.maximum((part**2).sum(1)[:, None] + squares - 2 * part @ y.T, 0)))
+                else:
+                    r = token_similarity(part[:, None, :], y[None, :, :], kind)
+                passed = {"positive": r >= threshold, "negative": r <= -threshold, "both": np.abs(r) >= threshold}[polarity] & ~np.isnan(r)
+                if inside:  # a row meets itself if it stands for several
+                    at = np.arange(len(part))
+                    passed[at, start + at] &= several[start : start + step]
+                yield start, r, passed
+
+        if limit is not None:
+            bars, best = [], np.full((limit, len(y)), -np.inf)
+            for _, r, passed in slices():
+                score = np.where(passed, np.abs(r), -np.inf)
+                bars.append(np.partition(score, -limit, axis=1)[:, -limit] if len(y) > limit else np.full(len(r), -np.inf))
+                best = np.partition(np.vstack([best, score]), -limit, axis=0)[-limit:]
+            rows_bar, columns_bar = np.concatenate(bars) - 1e-12, best.min(axis=0) - 1e-12  # ties, rounding apart, pass
+        for start, r, passed in slices():
+            if limit is not None:
+                score = np.abs(r)
+                passed &= (score >= rows_bar[start : start + step, None]) | (score >= columns_bar)
             if inside:
-                score = np.maximum(score, score.T)
-            # ties to the smaller other row: both sides are sorted
-            first = lambda axis: np.argsort(np.argsort(-score, axis=axis, kind="stable"), axis=axis, kind="stable") < limit
-            passed &= first(1) | first(0)
-        p, q = np.nonzero(passed)
-        one, two = names_a[p], names_b[q]
-        return pd.DataFrame({"a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "r": r[p, q]})
+                passed &= np.arange(len(y)) >= start + np.arange(len(r))[:, None]
+            p, q = np.nonzero(passed)
+            yield from _passed_on(a, b, p + start, q, r[p, q], inside & (p + start == q))
 
-    return left.unionByName(right).unionByName(comes).groupBy("cell", "i", "j").applyInPandas(meet, f"a {row_type}, b {row_type}, r double")
+    met = _dealt(left.unionByName(right).unionByName(comes), "cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(meet, f"x array<{row_type}>, y array<{row_type}>, r double, same boolean")
+    return _expanded(met, digits)
 
 
 def token_similarity(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
@@ -187,9 +264,10 @@ def token_similarity(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
     return ((x == y) & (x != 0)).sum(axis=-1) / np.maximum(either, 1)
 
 
-def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard") -> DataFrame:
+def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard", digits: int | None = None) -> DataFrame:
     """(a, b, r) with a < b of the rows of tokens (row, v) with a Jaccard or matching similarity of ``threshold`` (above 0) or more.
 
+    Equal rows are compared as one (``classes``), and their pairs are written out at the end.
     An inverted index over (column, token): pairs that pass share ceil(threshold * n) of the n tokens
     of either, so they share one of its n - that + 1 rarest.  Only these are indexed, the rarest
     first in one order for all rows.  ``jaccard`` indexes no zero tokens and rows without others
@@ -197,7 +275,7 @@ def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard") -> Dat
     token, however many, are dealt into blocks, block pairs meet in one task each, and a pair that
     meets under several tokens is kept under the first.
     """
-    names = rows.where("row is not null").select("row", "v")
+    names = classes(rows)
     cells = names.select("row", F.posexplode("v").alias("col", "token"))
     if kind == "jaccard":
         cells = cells.where("token <> 0")
@@ -206,49 +284,57 @@ def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard") -> Dat
     ordered = cells.join(counts, (F.col("col") == F.col("c_")) & (F.col("token") == F.col("t_"))).groupBy(F.col("row").alias("r_")).agg(items.alias("items"))
     # the least overlap, with a little less for rounding
     overlap = F.greatest(F.ceil(F.size("items") * F.lit(threshold) - F.lit(1e-9)), F.lit(1))
-    prefixed = names.join(ordered, F.col("row") == F.col("r_")).withColumn("rare", F.expr("transform(items, x -> struct(x.often, x.col, x.token))"))
-    prefixed = prefixed.withColumn("rare", F.slice("rare", F.lit(1), (F.size("items") - overlap + 1).cast("int"))).select("row", "v", F.size("items").alias("n"), "rare")
-    posted = cut(prefixed.select("row", "v", "n", "rare", F.explode("rare").alias("item")))
+    prefixed = names.join(ordered, F.col("row") == F.col("r_")).withColumn("rare", F.slice("items", F.lit(1), (F.size("items") - overlap + 1).cast("int")))
+    # where each column's token stands among the row's rarest; -1 if it is none of them
+    prefixed = prefixed.withColumn("places", F.expr("transform(sequence(0, size(v) - 1), c -> cast(array_position(transform(rare, x -> x.col), c) as int) - 1)"))
+    prefixed = cut(prefixed.select("row", "v", "members", F.size("items").alias("n"), "places", "rare"))
+    posted = prefixed.select("row", "v", "members", "n", "places", F.explode("rare").alias("item")).select("*", F.col("item.col").alias("col"), F.col("item.token").alias("token")).drop("item")
+    size = _block_rows(prefixed)
     # a hash of the row chooses the block, by the number of the token's rows in the index
-    sizes = posted.groupBy(F.col("item").alias("i_")).agg(F.count("*").alias("m")).where("m > 1").select("i_", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = posted.join(sizes, F.col("item") == F.col("i_")).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    shown = [F.col("row"), F.col("v"), F.col("n"), F.col("rare"), F.col("item")]
+    sizes = posted.groupBy(F.col("col").alias("c_"), F.col("token").alias("t_")).agg(F.count("*").alias("m")).where("m > 1").select("c_", "t_", F.ceil(F.col("m") / size).cast("int").alias("blocks"))
+    dealt = posted.join(sizes, (F.col("col") == F.col("c_")) & (F.col("token") == F.col("t_"))).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    shown = ["row", "v", "members", "n", "places", "col", "token"]
     left = dealt.select(*shown, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = dealt.select(*shown, F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    right = dealt.where("block > 0").select(*shown, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     row_type = rows.schema["row"].dataType.simpleString()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        none = pd.DataFrame({"a": a["row"][:0], "b": a["row"][:0], "r": np.zeros(0)})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, inside = _sides(batches)
         if not len(a) or not len(b):
-            return none
-        x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+            return
+        x, y, here = _matrix(a["v"]), _matrix(b["v"]), a["col"][0].as_py()
         n, m = a["n"].to_numpy(), b["n"].to_numpy()
-        one, two = a["row"].to_numpy(), b["row"].to_numpy()
-        same = np.zeros((len(x), len(y)), dtype=np.int64)
-        either = np.zeros_like(same)
-        for k in range(x.shape[1]):
-            equal = x[:, k, None] == y[None, :, k]
-            if kind == "jaccard":
-                some = (x[:, k, None] != 0) | (y[None, :, k] != 0)
-                same += equal & some
-                either += some
-            else:
-                same += equal
-        r = same / (x.shape[1] if kind == "smc" else np.maximum(either, 1))
-        passed = (r >= threshold) & (np.minimum(n[:, None], m) >= threshold * np.maximum(n[:, None], m) - 1e-9)
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            passed &= one[:, None] < two[None, :]
-        p, q = np.nonzero(passed)
-        key = lambda item: (item["often"], item["col"], item["token"])
-        here = key(pdf["item"].iloc[0])
-        own, other = [[key(i) for i in rare] for rare in a["rare"]], [{key(i) for i in rare} for rare in b["rare"]]
-        first = np.array([next(i for i in own[s] if i in other[t]) == here for s, t in zip(p.tolist(), q.tolist())], dtype=bool)
-        p, q = p[first], q[first]
-        one, two = one[p], two[q]
-        return pd.DataFrame({"a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "r": r[p, q]})
-
-    return left.unionByName(right).groupBy("item", "i", "j").applyInPandas(meet, f"a {row_type}, b {row_type}, r double")
+        own, other = _matrix(a["places"]), _matrix(b["places"])
+        step = max(1, SCORES // len(y))
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            same = np.zeros((len(x[part]), len(y)), dtype=np.int32)
+            either = np.zeros_like(same)
+            for k in range(x.shape[1]):
+                equal = x[part, k, None] == y[None, :, k]
+                if kind == "jaccard":
+                    some = (x[part, k, None] != 0) | (y[None, :, k] != 0)
+                    same += equal & some
+                    either += some
+                else:
+                    same += equal
+            r = same / (x.shape[1] if kind == "smc" else np.maximum(either, 1))
+            passed = (r >= threshold) & (np.minimum(n[part, None], m) >= threshold * np.maximum(n[part, None], m) - 1e-9)
+            if inside:
+                passed &= np.arange(len(y)) > start + np.arange(len(r))[:, None]
+            p, q = np.nonzero(passed)
+            # no rarer token of both is shared; zero tokens have no place for jaccard
+            first = np.ones(len(p), dtype=bool)
+            for k in range(x.shape[1]):
+                before = (own[p + start, k] >= 0) & (own[p + start, k] < own[p + start, here]) & (other[q, k] >= 0)
+                first &= ~(before & (x[p + start, k] == y[q, k]))
+            p, q = p[first], q[first]
+            yield from _passed_on(a, b, p + start, q, r[p, q], np.zeros(len(p), dtype=bool))
+
+    met = _dealt(left.unionByName(right), "col", "token", "i", "j").groupBy("col", "token", "i", "j").applyInArrow(meet, f"x array<{row_type}>, y array<{row_type}>, r double, same boolean")
+    # equal rows with some token
+    equals = prefixed.where((F.size("members") > 1) & (F.lit(1.0) >= threshold)).select(F.col("members").alias("x"), F.col("members").alias("y"), F.lit(1.0).alias("r"), F.lit(True).alias("same"))
+    return _expanded(met.unionByName(equals), digits)
 
 
 def top_k_edges(pairs: DataFrame, k: int = 50, signed: bool = False) -> DataFrame:
