@@ -167,6 +167,27 @@ def test_betweenness_and_eccentricity(spark):
     assert {r["id"]: r["eccentricity"] for r in metrics.eccentricity(graph).collect()} == dict(enumerate(far))
 
 
+def test_betweenness_of_trees_needs_no_search(spark, monkeypatch):
+    """A random tree, a path, a pair, a lone node and a star with a loop; then a cycle with a tail besides, which is searched."""
+    draw = random.Random(4)
+    pairs = [(k, draw.randrange(k)) for k in range(1, 20)] + [(k, k + 1) for k in range(20, 27)] + [(28, 29)] + [(31, k) for k in range(32, 37)] + [(31, 31)]
+
+    def check(n, pairs):
+        graph = Graph(spark.createDataFrame([(k,) for k in range(n)], "id long"), spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "edge_id long, src long, dst long"))
+        nodes, edges, _ = brandes(n, pairs)
+        through, along = metrics.betweenness(graph)
+        assert {r["id"]: r["betweenness"] for r in through.collect()} == pytest.approx(dict(enumerate(nodes)))
+        assert {r["edge_id"]: r["betweenness"] for r in along.collect()} == pytest.approx(dict(enumerate(edges)))
+
+    check(42, [*pairs, (37, 38), (38, 39), (39, 40), (40, 37), (40, 41), (37, 38)])
+
+    def fail(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(metrics, "shortest_paths", fail)
+    check(37, pairs)
+
+
 def test_pagerank(spark):
     ranks = {r["id"]: r["pagerank"] for r in metrics.pagerank(make(spark, "ranked"), tolerance=1e-3).collect()}
     # of a star: centre c and leaf l with c = 0.2 / 6 + 0.8 * 5 l and l = 0.2 / 6 + 0.8 c / 5
