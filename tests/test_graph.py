@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates as P
 from weftgraph.graph import Graph, dense_ids, graph_from_tables, unique_name
-from weftgraph.operators import cluster, metrics, structure, transforms
+from weftgraph.operators import cluster, metrics, prep, structure, transforms
 from weftgraph.operators import select as selection
 from weftgraph.operators.components import component_labels
 from weftgraph.plans.pipeline import Pipeline, batch_job, step, until_unchanged
@@ -345,3 +345,12 @@ def test_selection_and_natural_order(spark):
     assert ids(selection.find_nodes(graph, "N1", match_case=True)) == []
     df = spark.createDataFrame([("a10",), ("a9",), ("a009b",), ("b1",), ("a",)], "s string")
     assert [r["s"] for r in selection.natural_sort(df, "s").collect()] == ["a", "a9", "a009b", "a10", "b1"]
+
+
+def test_size_curve_of_a_hub_is_limited_before_the_exchange(spark, capsys):
+    """A hub's edges beyond the last step drop out in every task."""
+    star = spark.range(1000).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    curve = prep.graph_size_curve_knn(star, 10)
+    curve.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
+    assert [(r["k"], r["edges"]) for r in curve.orderBy("k").collect()] == [(1, 1000)]
