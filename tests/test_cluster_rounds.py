@@ -35,3 +35,21 @@ def test_square_of_wide_columns_equals_numpy_without_all_products(spark, kind):
     if kind == "stars":  # a leaf's column gives at most 2 * keep + 2 entries, not one for each leaf of its hub
         loose = cluster._squared(spark.createDataFrame(rows, "i long, j long, p double"), True, inflation, 0.0, keep)
         assert loose.where(F.col("j") >= 2).groupBy("j").count().agg(F.max("count")).first()[0] <= 2 * keep + 2
+
+
+def test_a_louvain_trial_is_one_write(spark, monkeypatch):
+    """The survey that gives the moves gives the objective too, the same as by its definition."""
+    ring = [(k, (k + 1) % 6, 1.0 + k) for k in range(6)]
+    both = [(a, b, w) for a, b, w in ring] + [(b, a, w) for a, b, w in ring]
+    links_ = spark.createDataFrame(both, "node long, other long, w double")
+    degree = {v: sum(w for a, _, w in both if a == v) for v in range(6)}
+    community = {v: v // 3 for v in range(6)}
+    state = spark.createDataFrame([(v, community[v], degree[v]) for v in range(6)], "id long, community long, k double")
+    total, gamma = sum(degree.values()) / 2, 1.7
+    writes = []
+    monkeypatch.setattr(cluster, "cut", lambda df, cut=cluster.cut: writes.append(df.columns) or cut(df))
+    value = cluster._objective(cluster._survey(state, links_, gamma, total), 0.0, gamma, total)
+    inner = sum(w for a, b, w in both if community[a] == community[b])
+    squares = sum(sum(degree[v] for v in range(6) if community[v] == c) ** 2 for c in (0, 1))
+    assert value == pytest.approx(gamma * inner / 2 - squares / (2 * total))
+    assert len(writes) == 1
