@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from weftgraph.graph import Graph
-from weftgraph.operators import enrich, metrics, transforms
+from weftgraph.operators import enrich, metrics, structure, transforms
 
 
 def graph_of(spark, n, pairs):
@@ -121,3 +121,12 @@ def test_fisher_of_large_counts():
     z = 4 * (25_010_000 - 25_000_000) / math.sqrt(n)
     assert enrich._fisher(25_010_000, n // 2, n // 2, n) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=0.01)
     assert enrich._fisher(30_000_000, n // 2, n // 2, n) == 0.0
+
+
+def test_graph_diff_holds_a_bounded_number_of_ids_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(structure, "IDS", 64)
+    nodes = spark.range(1000).union(spark.createDataFrame([(None,), (5000,), (5000,)], "id long"))
+    edges = spark.createDataFrame([(k, k, k + 1) for k in range(300)], "edge_id long, src long, dst long")
+    found = structure.graph_diff(Graph(nodes, edges), Graph(nodes.where("id is null or id <> 5000").union(spark.range(7000, 7001)), edges.where("edge_id % 100 <> 7")))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("node", None, "added"), ("node", None, "removed"), ("node", 5000, "removed"), ("node", 5000, "removed"), ("node", 7000, "added"), ("edge", 7, "removed"), ("edge", 107, "removed"), ("edge", 207, "removed")], key=str)
+    assert found.rdd.getNumPartitions() >= 2 * 1000 // 64
