@@ -140,3 +140,9 @@ def test_nearest_of_equal_rows(spark, limit, monkeypatch):
         for other in sorted((o for o in range(60) if o != k and r[k, o] >= 0.2), key=lambda o: (-abs(r[k, o]), o))[:limit]:
             wanted.add((min(k, other), max(k, other)))
     assert pairs_of(similarity.top_k_edges(similarity.all_pairs(df, 0.2, limit=limit, digits=9), limit)) == wanted
+
+
+def test_a_row_goes_to_few_block_pairs(spark):
+    """A dozen blocks are tasks enough; each further one is a further copy of every row in the shuffle."""
+    rows = spark.range(30000).selectExpr("id as row", "array(cast(id as double)) as v", "array(id) as members")
+    assert -(-30000 // similarity._block_rows(rows)) <= 12

@@ -18,7 +18,7 @@ from weftgraph.plans.iterate import cut
 
 #: Rows of one side of a block pair at least, blocks into which all rows are cut about, and bytes of numbers of one side at most.
 BLOCK = 512
-BLOCKS = 24
+BLOCKS = 12
 SIDE = 64 << 20
 #: Equal rows that go as one at most; scores held at once, and members passed on at once.
 MEMBERS = 256
