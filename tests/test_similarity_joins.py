@@ -146,3 +146,18 @@ def test_a_row_goes_to_few_block_pairs(spark):
     """A dozen blocks are tasks enough; each further one is a further copy of every row in the shuffle."""
     rows = spark.range(30000).selectExpr("id as row", "array(cast(id as double)) as v", "array(id) as members")
     assert -(-30000 // similarity._block_rows(rows)) <= 12
+
+
+def test_a_token_of_few_classes_and_many_rows_is_dealt(spark):
+    """Classes that stand for many rows write out their squares, so a token's block pairs are tasks enough, and bounded."""
+    tokens = spark.createDataFrame([(300, 300), (300, 48000), (300, 10**9), (3, 10**9), (90000, 90000)], "m long, rows long")
+    assert [r[0] for r in tokens.select(similarity._token_blocks(625)).collect()] == [1, 6, similarity.BLOCKS, 3, 144]
+
+
+@pytest.mark.parametrize("kind", ["smc", "jaccard"])
+def test_token_pairs_of_dealt_classes(spark, kind, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS", 10)
+    rows = [(1 + k % 3, 1 + k % 5, 1 + k % 2) for k in range(120)]
+    df = spark.createDataFrame([(k, list(r)) for k, r in enumerate(rows)], "row long, v array<long>").repartition(3)
+    wanted = {(a, b) for a, b in itertools.combinations(range(120), 2) if sum(x == y for x, y in zip(rows[a], rows[b])) >= 2}
+    assert pairs_of(similarity.token_pairs(df, 0.4 if kind == "jaccard" else 0.6, kind)) == wanted

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import dense_ids, segmented_ranks, unique_name
@@ -23,6 +23,8 @@ SIDE = 64 << 20
 #: Equal rows that go as one at most; scores held at once, and members passed on at once.
 MEMBERS = 256
 SCORES = 1 << 20
+#: Rows of one token that are worth a block of their own, since a block pair writes out up to the square of that.
+ROWS = 8192
 #: Pivots of a metric join at most, and rows of a cell, about.
 PIVOTS = 512
 CELL = 128
@@ -142,6 +144,12 @@ def _block_rows(classes_: DataFrame) -> int:
     return max(1, least, min(-(-seen["n"] // BLOCKS), SIDE // (8 * max(1, seen["width"] or 1))))
 
 
+def _token_blocks(size: int) -> Column:
+    """Blocks of a token with ``m`` classes of ``rows`` rows: by ``size``, or up to BLOCKS where few classes stand for many rows."""
+    by_size, by_rows = F.ceil(F.col("m") / size), F.ceil(F.col("rows") / ROWS)
+    return F.greatest(by_size, F.least(by_rows, F.col("m"), F.lit(BLOCKS))).cast("int")
+
+
 def _dealt(sides: DataFrame, *keys: str) -> DataFrame:
     """Block pairs over all shuffle partitions: few bytes make many pairs, so partitions are not to be joined by their size."""
     return sides.repartition(int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -291,7 +299,7 @@ def token_pairs(rows: DataFrame, threshold: float, kind: str = "jaccard", digits
     posted = prefixed.select("row", "v", "members", "n", "places", F.explode("rare").alias("item")).select("*", F.col("item.col").alias("col"), F.col("item.token").alias("token")).drop("item")
     size = _block_rows(prefixed)
     # a hash of the row chooses the block, by the number of the token's rows in the index
-    sizes = posted.groupBy(F.col("col").alias("c_"), F.col("token").alias("t_")).agg(F.count("*").alias("m")).where("m > 1").select("c_", "t_", F.ceil(F.col("m") / size).cast("int").alias("blocks"))
+    sizes = posted.groupBy(F.col("col").alias("c_"), F.col("token").alias("t_")).agg(F.count("*").alias("m"), F.sum(F.size("members")).alias("rows")).where("m > 1").select("c_", "t_", _token_blocks(size).alias("blocks"))
     dealt = posted.join(sizes, (F.col("col") == F.col("c_")) & (F.col("token") == F.col("t_"))).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     shown = ["row", "v", "members", "n", "places", "col", "token"]
     left = dealt.select(*shown, F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
