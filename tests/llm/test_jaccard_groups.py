@@ -115,3 +115,15 @@ def test_no_batch_holds_the_sets_of_pairs(spark, monkeypatch):
     found = jaccard_groups.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in found) == [(k, 0) for k in range(20)] + [(20, 20), (21, 21), (22, 21)]
     assert given and not [columns for columns in given if any("hashes" in c for c in columns)]
+
+
+def test_near_duplicates_of_few_texts_take_few_jobs_and_no_broadcast_of_sets(spark):
+    """Each small job and each broadcast stays with the driver for long, and there are several rounds of links."""
+    word = lambda k: " ".join(f"w{k * 7 + i}" for i in range(30))
+    rows = [(n, word(n % 12) + (f" x{n}" if n % 3 else "")) for n in range(40)] + [(40, None), (41, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few-near-jobs", "few-near-jobs")
+    kept = sorted(r["doc_id"] for r in jaccard_groups.one_of_each(docs, shingle=5, similarity=(4, 5), most=2).collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == [*range(12), 40]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-near-jobs")) <= 110
