@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -161,3 +162,15 @@ def test_token_pairs_of_dealt_classes(spark, kind, monkeypatch):
     df = spark.createDataFrame([(k, list(r)) for k, r in enumerate(rows)], "row long, v array<long>").repartition(3)
     wanted = {(a, b) for a, b in itertools.combinations(range(120), 2) if sum(x == y for x, y in zip(rows[a], rows[b])) >= 2}
     assert pairs_of(similarity.token_pairs(df, 0.4 if kind == "jaccard" else 0.6, kind)) == wanted
+
+
+def test_bars_of_slices_hold_no_scores_of_the_block_pair():
+    """What nearest neighbours keep of a slice is one number a row."""
+    scores = np.random.default_rng(1).random((50, 2000))
+    tracemalloc.start()
+    bars = [similarity._row_bars(scores + k, 3) for k in range(30)]
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < scores.nbytes
+    assert all((bar == np.sort(scores + k, axis=1)[:, -3]).all() for k, bar in enumerate(bars))
+    assert (similarity._row_bars(scores[:, :3], 3) == -np.inf).all()

@@ -169,6 +169,13 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table, bool]
     return table.filter(pa.array(side == 0)), table.filter(pa.array(side == (0 if inside else 1))), inside
 
 
+def _row_bars(score: np.ndarray, limit: int) -> np.ndarray:
+    """The ``limit``-th best score of each row; a copy, as a view would hold all scores of its slice, and so all slices those of the block pair."""
+    if score.shape[1] <= limit:
+        return np.full(len(score), -np.inf)
+    return np.partition(score, -limit, axis=1)[:, -limit].copy()
+
+
 def _passed_on(a: pa.Table, b: pa.Table, p: np.ndarray, q: np.ndarray, r: np.ndarray, same: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(x, y, r, same): the members of both sides of the pairs, in batches of bounded size."""
     x, y = (side["members"].combine_chunks().cast(pa.list_(side.schema.field("members").type.value_type)) for side in (a, b))
@@ -248,7 +255,7 @@ def all_pairs(rows: DataFrame, threshold: float, polarity: str = "positive", kin
             bars, best = [], np.full((limit, len(y)), -np.inf)
             for _, r, passed in slices():
                 score = np.where(passed, np.abs(r), -np.inf)
-                bars.append(np.partition(score, -limit, axis=1)[:, -limit] if len(y) > limit else np.full(len(r), -np.inf))
+                bars.append(_row_bars(score, limit))
                 best = np.partition(np.vstack([best, score]), -limit, axis=0)[-limit:]
             rows_bar, columns_bar = np.concatenate(bars) - 1e-12, best.min(axis=0) - 1e-12  # ties, rounding apart, pass
         for start, r, passed in slices():
